@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm.decontamination import find_contamination
+from strandflow.llm.jaccard_join import Rule, classes
 from strandflow.llm.language_id import identify_language
+from strandflow.llm.media_chunks import media_reports
+from strandflow.llm.mixing import mix_sources
 from strandflow.llm.quality import score_quality
 from strandflow.llm.secret_scan import scan_secrets
+from strandflow.llm.substring_dedup import remove_repeats
 from strandflow.llm.tables import table
 from strandflow.llm.toxicity import score_toxicity
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_reports(table(spark, sf_dir, "documents"))
+
+
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -30,9 +42,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
