@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from strandflow.llm import textkernels as K
 
-STATE = "doc_id long, text string, hits binary, items array<string>"
+#: Columns that passes add: spans of hit words, and the items found.
+HITS, ITEMS = "_window_hits", "_window_items"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
 
 
@@ -90,7 +91,7 @@ def _searcher(shared):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            hits, items = batch.column(HITS).to_pylist(), batch.column(ITEMS).to_pylist()
             for lo, _, data, at in K.pieces(batch.column("text")):
                 words = _words(data, at)
                 doc, start, window = index.find(words.hashes(), words.first)
@@ -100,14 +101,20 @@ def _searcher(shared):
                     spans = np.stack([begin, begin + index.length[window[mine]]], 1).astype(np.int64)
                     hits[lo + d] = (hits[lo + d] or b"") + spans.tobytes()
                     items[lo + d] = sorted({*(items[lo + d] or ()), *(x for w in set(window[mine].tolist()) for x in index.ids[w])})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text", "hits", "items"],
-            )
+            columns = [pa.array(hits, pa.binary()) if n == HITS else pa.array(items, pa.list_(pa.string())) if n == ITEMS else batch.column(i) for i, n in enumerate(batch.schema.names)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return search
 
 
+def _hit_words(spans: bytes, n_words: int) -> int:
+    change = np.zeros(n_words + 1, np.int64)
+    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1], -1)
+    return int(np.count_nonzero(np.cumsum(change) > 0))
+
+
 def _report(least: int):
     empty = hashlib.sha256(b"").hexdigest()
 
@@ -118,14 +125,10 @@ def _report(least: int):
             for lo, hi, data, at in K.pieces(batch.column("text")):
                 n_words[lo:hi] = _words(data, at).counts()
             n_hit, digest = np.zeros(n, np.int64), [empty] * n
-            items = [x or [] for x in batch.column("items").to_pylist()]
-            for d, spans in enumerate(batch.column("hits").to_pylist()):
+            items = [x or [] for x in batch.column(ITEMS).to_pylist()]
+            for d, spans in enumerate(batch.column(HITS).to_pylist()):
                 if spans:
-                    change = np.zeros(n_words[d] + 1, np.int64)
-                    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
-                    np.add.at(change, pairs[:, 0], 1)
-                    np.add.at(change, pairs[:, 1], -1)
-                    n_hit[d] = np.count_nonzero(np.cumsum(change) > 0)
+                    n_hit[d] = _hit_words(spans, int(n_words[d]))
                     digest[d] = hashlib.sha256(",".join(items[d]).encode()).hexdigest()
             many = np.array([len(x) for x in items], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -170,12 +173,24 @@ def _blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[dict[tuple,
         yield item_windows(items, size)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, windows_per_block: int = 500_000) -> DataFrame:
-    """For each row of ``docs``: its words, the words inside item windows, the items, and whether there are ``least_items``."""
+def _searched(docs: DataFrame, benchmark: DataFrame, size: int, windows_per_block: int) -> DataFrame:
+    """``docs`` with the columns HITS and ITEMS filled."""
     spark = docs.sparkSession
-    state = docs.selectExpr("cast(doc_id as long) doc_id", "text", "cast(null as binary) hits", "cast(array() as array<string>) items")
+    state = docs.withColumns({HITS: F.lit(None).cast("binary"), ITEMS: F.array().cast("array<string>")})
     for found in _blocks(benchmark, size, windows_per_block):
         wanted = np.unique(np.array([w for window in found for w in window], np.uint64))
         index = Index(found, size, corpus_counts(docs, wanted))
-        state = state.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), STATE)
+        state = state.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), state.schema)
+    return state
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, windows_per_block: int = 500_000) -> DataFrame:
+    """For each row of ``docs``: its words, the words inside item windows, the items, and whether there are ``least_items``."""
+    state = _searched(docs.selectExpr("cast(doc_id as long) doc_id", "text"), benchmark, size, windows_per_block)
     return state.mapInArrow(_report(least_items), SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 1, windows_per_block: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` with windows of fewer than ``least_items`` items, all columns unchanged."""
+    state = _searched(docs, benchmark, size, windows_per_block)
+    return state.where(F.size(ITEMS) < least_items).drop(HITS, ITEMS)

@@ -7,7 +7,7 @@ than ``repeats`` times within the budget. Both conditions are monotone, so a bra
 rounds; each evaluates a row of exponents over the table of sources, and only
 that row comes to the driver.
 
-A source gets weight * budget tokens: whole epochs, then a part of one. Each
+A source gets weight * budget tokens, rounded: whole epochs, then a part of one. Each
 epoch reads the source's blocks in a new order, and each block's documents in a
 new order; the last epoch stops at the last document that fits. Running totals
 go over blocks first and then inside the block, so no source is ever in one
@@ -61,7 +61,7 @@ def source_weights(tokens: DataFrame, budget: int | None, entropy: float, repeat
     power = F.pow(F.col("n_tokens") / F.lit(total), F.lit(max(even, rare)))
     norm = stats.agg(F.sum(power)).first()[0]
     weighted = stats.withColumn("weight", power / F.lit(norm))
-    return weighted.withColumn("quota", F.floor(F.col("weight") * F.lit(budget))), budget, k
+    return weighted.withColumn("quota", F.round(F.col("weight") * F.lit(budget)).cast("long")), budget, k
 
 
 def _key(*parts) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm.decontamination import find_contamination
+from strandflow.llm.gated_lm import score_documents
 from strandflow.llm.jaccard_join import Rule, classes
 from strandflow.llm.language_id import identify_language
 from strandflow.llm.media_chunks import media_reports
@@ -26,6 +27,10 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandflow.llm import textkernels as K
 
@@ -153,3 +154,40 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with counts by base kind, a digest of base spans, and all spans."""
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan, SCHEMA)
+
+
+def without_spans(text: str, mark: str) -> str:
+    out, at = [], 0
+    for _, start, end in find_spans(text):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _redactor(mark: str):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new: dict[int, str] = {}
+            for lo, _, data, at in K.pieces(batch.column("text")):
+                for d in candidates(data, at).tolist():
+                    text = data[at[d] : at[d + 1]].tobytes().decode("utf-8", "replace")
+                    if (kept := without_spans(text, mark)) != text:
+                        new[lo + d] = kept
+            if new:
+                texts = batch.column("text").to_pylist()
+                for row, text in new.items():
+                    texts[row] = text
+                names = batch.schema.names
+                batch = pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(i).type) if n == "text" else batch.column(i) for i, n in enumerate(names)], names)
+            yield batch
+
+    return clean
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with each run of overlapping spans replaced by ``mark``; n_chars, if it is there, follows the text."""
+    out = docs.mapInArrow(_redactor(mark), docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -137,6 +137,15 @@ class Words:
             out |= np.where(inside, self.case[self.data[np.where(inside, here, 0)]], 0).astype(np.uint64) << np.uint64(8 * j)
         return out
 
+    def suffixes(self, length: int) -> np.ndarray:
+        """The last ``length`` bytes (at most 7) of each word as an integer."""
+        out = np.zeros(len(self.starts), np.uint64)
+        for j in range(length):
+            here = self.ends - 1 - j
+            inside = here >= self.starts
+            out |= np.where(inside, self.case[self.data[np.where(inside, here, 0)]], 0).astype(np.uint64) << np.uint64(8 * j)
+        return out
+
 
 def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = NON_BLANK, case: np.ndarray = SAME) -> Words:
     inside = table[case[data]] if case is not SAME else table[data]

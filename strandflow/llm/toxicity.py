@@ -1,10 +1,11 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
 Training takes a bounded sample of labelled rows (``per_class`` of each label,
-texts of at most ``most_bytes``). From three quarters of it come the lexicon (words and word
-beginnings that mark label 1) and the trees, from the last quarter the
-calibration. Features of whole texts: lexicon hits, their density and variety,
-second-person words near hits, capitals, punctuation, obfuscated words, length.
+texts of at most ``most_bytes``). Half of it gives the lexicon (words and word
+beginnings that are commoner under label 1, weighted by log odds), a quarter the
+trees, and a quarter the calibration. Features of whole texts: lexicon hits,
+their density, weight and variety, second-person words near hits, capitals,
+punctuation, obfuscated words, length.
 
 Empty and null texts get the score of a text without any feature. With no
 labelled rows, every score is 0 for lack of evidence.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,10 @@ from strandflow.llm.boosting import BoostedTrees, Isotonic, sigmoid
 from strandflow.llm.tables import held_out, labelled_sample
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7)
+#: Log odds from which an entry counts as a hit.
+STRONG = 3.0
+N_FEATURES = 13
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous votre usted ustedes tú ti".split()
 NEAR = 4
 _LETTERS = K.byte_table(lambda b: b > 0x7F or chr(b).isalpha())
@@ -45,18 +50,27 @@ def _per_document(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(mask)])[first])
 
 
-def features(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+@dataclass
+class Lexicon:
+    """Codes, ascending, and their log odds for label 1."""
+
+    codes: np.ndarray
+    weights: np.ndarray
+
+
+def features(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """Documents by features."""
     words = K.words(data, at, _LETTERS, K.LOWER)
     n = np.maximum(words.counts(), 1)
     size = np.maximum(np.diff(at), 1)
     keys = _keys(words)
-    hit = np.zeros(len(words.starts), bool)
-    entry = np.full(len(words.starts), -1)
+    entry, weight = np.full(len(words.starts), -1), np.zeros(len(words.starts))
     for k in keys:
-        found = K.in_sorted(k, lexicon)
-        entry = np.where(found >= 0, found, entry)
-        hit |= found >= 0
+        found = K.in_sorted(k, lexicon.codes)
+        own = np.where(found >= 0, lexicon.weights[found] if len(lexicon.codes) else 0.0, 0.0)
+        entry = np.where(own > weight, found, entry)
+        weight = np.maximum(weight, own)
+    hit = weight >= STRONG
     person = K.in_sorted(keys[0], _second_person()) >= 0
     doc = words.docs()
     near = np.zeros(len(hit), bool)
@@ -65,19 +79,23 @@ def features(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> np.ndarra
         near[step:] |= person[:-step] & same
         near[:-step] |= person[step:] & same
     hits = _per_document(hit, words.first)
-    pairs = np.unique(doc[hit] * (len(lexicon) + 1) + entry[hit])
-    variety = np.bincount(pairs // (len(lexicon) + 1), minlength=len(n)) if len(pairs) else np.zeros(len(n))
+    kinds = len(lexicon.codes) + 1
+    variety = np.bincount(np.unique(doc[hit] * kinds + entry[hit]) // kinds, minlength=len(n))
+    some = np.flatnonzero(words.counts())
+    most = np.zeros(len(n))
+    if len(some):
+        most[some] = np.maximum.reduceat(weight, words.first[:-1][some])
+    summed = np.diff(np.concatenate([[0], np.cumsum(weight)])[words.first])
     tokens = K.words(data, at)
     inside = np.concatenate([[0], np.cumsum(_MASKS[data])])
     letters = np.concatenate([[0], np.cumsum(_LETTERS[data])])
-    # letters on both sides of a mask character: the inside of the token has one, its first byte is a letter
+    # a letter first, a mask before the last byte, and more letters
     masked = (inside[np.maximum(tokens.ends - 1, tokens.starts)] - inside[tokens.starts] > 0) & _LETTERS[data[tokens.starts]] & (letters[tokens.ends] - letters[tokens.starts] > 1)
     obfuscated = _per_document(masked, tokens.first)
-    t = np.maximum(tokens.counts(), 1)
     return np.column_stack(
-        [hits, hits / n, variety, _per_document(hit & near, words.first), _per_document(person, words.first) / n]
+        [hits, hits / n, variety, summed / n, summed, most, _per_document(hit & near, words.first), _per_document(person, words.first) / n]
         + [_per_document(m[data], at) / size for m in (_UPPER, _PUNCTUATION, _SHOUT)]
-        + [obfuscated / t, np.log1p(words.counts())]
+        + [obfuscated / np.maximum(tokens.counts(), 1), np.log1p(words.counts())]
     ).astype(float)
 
 
@@ -91,8 +109,8 @@ def _second_person() -> np.ndarray:
     return _PERSON[0]
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, least: float, purity: float, most: int) -> np.ndarray:
-    """Codes in at least ``least`` of the texts of label 1, and in under ``purity`` times as many of label 0; at most ``most``."""
+def learn_lexicon(texts: list[str], y: np.ndarray, least: float, odds: float, deviations: float, most: int) -> Lexicon:
+    """Codes in at least ``least`` of the texts of label 1 whose log odds are ``odds`` or more, by so many standard deviations."""
     with_1, with_0 = Counter(), Counter()
     for lo, hi, data, at in K.pieces(pa.array(texts, pa.string())):
         words = K.words(data, at, _LETTERS, K.LOWER)
@@ -101,12 +119,21 @@ def learn_lexicon(texts: list[str], y: np.ndarray, least: float, purity: float,
             own = np.unique(np.concatenate([k[words.first[d] : words.first[d + 1]] for k in keys]))
             (with_1 if y[lo + d] else with_0).update(own[own != 0].tolist())
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    found = [(c, k) for k, c in with_1.items() if c >= max(3, least * n1) and with_0[k] / n0 <= purity * c / n1]
-    return np.array(sorted(k for _, k in sorted(found, reverse=True)[:most]), np.uint64)
+    found = []
+    for k, a in with_1.items():
+        b = with_0[k]
+        if a >= max(3, least * n1):
+            p, q, all_of = a / n1, b / n0, (a + b) / (n1 + n0)
+            z = (p - q) / np.sqrt(max(all_of * (1 - all_of), 1e-9) * (1 / n1 + 1 / n0))
+            weight = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+            if z >= deviations and weight >= odds:
+                found.append((z, k, weight))
+    found = sorted(sorted(found, reverse=True)[:most], key=lambda f: f[1])
+    return Lexicon(np.array([k for _, k, _ in found], np.uint64), np.array([w for _, _, w in found]))
 
 
 class Model:
-    def __init__(self, lexicon: np.ndarray, trees: BoostedTrees | None, calibrated: Isotonic | None):
+    def __init__(self, lexicon: Lexicon, trees: BoostedTrees | None, calibrated: Isotonic | None):
         self.lexicon, self.trees, self.calibrated = lexicon, trees, calibrated
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -116,23 +143,21 @@ class Model:
         return np.clip(self.calibrated(raw) + 1e-9 * sigmoid(raw), 0, 1)
 
 
-def _features_of(texts: list[str], lexicon: np.ndarray) -> np.ndarray:
+def _features_of(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     parts = [features(data, at, lexicon) for _, _, data, at in K.pieces(pa.array(texts, pa.string()))]
-    return np.concatenate(parts) if parts else np.zeros((0, 10))
+    return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))
 
 
-def train(rows: list[tuple[str, int]], least: float = 0.02, purity: float = 0.02, most: int = 2000) -> Model:
+def train(rows: list[tuple[str, int]], least: float = 0.01, odds: float = 1.0, deviations: float = 4.0, most: int = 2000) -> Model:
     """``rows``: (text, label)."""
     y = np.array([label for _, label in rows], float)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(0, np.uint64), None, None)
-    texts = [t for t, _ in rows]
-    last = np.arange(len(rows)) % 4 == 3
-    fit = [t for t, out in zip(texts, last, strict=True) if not out]
-    lexicon = learn_lexicon(fit, y[~last], least, purity, most)
-    trees = BoostedTrees().fit(_features_of(fit, lexicon), y[~last])
-    rest = _features_of([t for t, out in zip(texts, last, strict=True) if out], lexicon)
-    return Model(lexicon, trees, Isotonic().fit(trees.raw(rest), y[last]))
+        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), None, None)
+    turn = np.arange(len(rows)) % 4
+    part = lambda *k: [t for (t, _), j in zip(rows, turn, strict=True) if j in k]
+    lexicon = learn_lexicon(part(0, 1), y[turn < 2], least, odds, deviations, most)
+    trees = BoostedTrees().fit(_features_of(part(2), lexicon), y[turn == 2])
+    return Model(lexicon, trees, Isotonic().fit(trees.raw(_features_of(part(3), lexicon)), y[turn == 3]))
 
 
 def _scorer(shared, column: str):
