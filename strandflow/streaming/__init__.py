@@ -1 +1,154 @@
+"""Structured Streaming versions of keyed state, exact windows and positional alignment.
 
+``transformWithStateInPandas`` holds the state in RocksDB, so it survives lost
+executors and restarts from the query's checkpoint. Rows are taken in order of
+``seq`` within a micro-batch; across batches, order of arrival is order of batch.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Stateful processors need this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+
+def _sorted(parts: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+    frames = list(parts)
+    return pd.concat(frames).sort_values(order, kind="stable") if frames else pd.DataFrame()
+
+
+class RunningCount(StatefulProcessor):
+    """After each row of a key, the number of its rows so far."""
+
+    def __init__(self, columns: list[str], order: str):
+        self.columns, self.order = columns, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _sorted(rows, self.order)
+        n = self.count.get()[0] if self.count.exists() else 0
+        frame["n"] = range(n + 1, n + 1 + len(frame))
+        self.count.update((n + len(frame),))
+        yield frame[[*self.columns, "n"]]
+
+
+def running_count(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", n long"
+    return df.groupBy(key).transformWithStateInPandas(RunningCount(df.columns, order), schema, "Append", "None")
+
+
+class RunningWatermark(StatefulProcessor):
+    """The least, over the sources seen so far, of their running maximum watermark."""
+
+    def __init__(self, columns: list[str], order: str, source: str | None):
+        self.columns, self.order, self.source = columns, order, source
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "source string", "wm long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _sorted(rows, self.order)
+        seen = {k[0]: v[0] for k, v in self.seen.iterator()}
+        clock = []
+        sources = frame[self.source].astype(str) if self.source else ["" for _ in range(len(frame))]
+        for s, wm in zip(sources, frame["_wm"], strict=True):
+            seen[s] = max(seen.get(s, wm), wm)
+            clock.append(min(seen.values()))
+        for s, wm in seen.items():
+            self.seen.updateValue((s,), (int(wm),))
+        frame["_wm"] = clock
+        yield frame[self.columns]
+
+
+def running_watermark(df: DataFrame, order: str = "seq", source: str | None = None) -> DataFrame:
+    """Operator-wide watermark: one state, and so one task, as all inputs meet in it."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.withColumn("_all", F.lit(0)).groupBy("_all").transformWithStateInPandas(RunningWatermark(df.columns, order, source), schema, "Append", "None")
+
+
+class Panes(StatefulProcessor):
+    """Windows of one key: each row is folded into its windows, then those that the key's clock has passed fire."""
+
+    def __init__(self, key: str, size: int, slide: int, order: str):
+        self.key, self.size, self.slide, self.order = key, size, slide, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clock = handle.getValueState("clock", "wm long")
+        self.open = handle.getMapState("open", "start long", "n long, total double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        clock = self.clock.get()[0] if self.clock.exists() else None
+        held = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        before, out = set(held), []
+        for row in _sorted(rows, self.order).itertuples():
+            ts, wm, value = int(row.ts), int(row.wm), float(row.value)
+            start = ts // self.slide * self.slide
+            while ts >= 0 and start >= 0 and start + self.size > ts:
+                n, total = held.get(start, (0, 0.0))
+                held[start] = (n + 1, total + value)
+                start -= self.slide
+            clock = wm if clock is None else max(clock, wm)
+            for start in sorted(s for s in held if s + self.size <= clock):
+                n, total = held.pop(start)
+                out.append((key[0], start, start + self.size, int(row.seq), n, total))
+        for start in before - set(held):
+            self.open.removeKey((start,))
+        for start, state in held.items():
+            self.open.updateValue((start,), state)
+        if clock is not None:
+            self.clock.update((clock,))
+        yield pd.DataFrame(out, columns=[self.key, "start", "stop", "pane", "n", "total"])
+
+
+def fire(df: DataFrame, key: str, size: int, slide: int, value: Column | None = None, order: str = "seq") -> DataFrame:
+    """Exact windows on a stream with ``_ts`` and an operator-wide ``_wm``: the panes of the batch operator, with count and sum."""
+    if size <= 0 or slide <= 0:
+        raise ValueError("window size and slide must be positive")
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, F.col(order).alias("seq"), F.col("_ts").alias("ts"), F.col("_wm").alias("wm"), (F.lit(0.0) if value is None else value.cast("double")).alias("value"))
+    schema = f"{key} {kind}, start long, stop long, pane long, n long, total double"
+    return rows.groupBy(key).transformWithStateInPandas(Panes(key, size, slide, "seq"), schema, "Append", "None")
+
+
+def native_windows(df: DataFrame, time: str, delay: str, size: str, slide: str | None, *keys: str, **folds: Column) -> DataFrame:
+    """Spark's own event-time windows. They differ from ``fire``: late rows are dropped, the clock moves by micro-batch and for all keys at once, and ``slide`` is at most ``size``."""
+    window = F.window(time, size, slide) if slide else F.window(time, size)
+    return df.withWatermark(time, delay).groupBy(*keys, window.alias("window")).agg(*(c.alias(n) for n, c in folds.items()))
+
+
+class Align(StatefulProcessor):
+    """Two first-in-first-out buffers; pairs come out as soon as both have a row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getListState("left", "value string")
+        self.right = handle.getListState("right", "value string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _sorted(rows, "seq")
+        sides = [[v[0] for v in s.get()] if s.exists() else [] for s in (self.left, self.right)]
+        for source, value in zip(frame["_source"], frame["value"], strict=True):
+            sides[int(source)].append(value)
+        n = min(map(len, sides))
+        for state, values in zip((self.left, self.right), sides, strict=True):
+            state.clear()
+            if values[n:]:
+                state.put([(v,) for v in values[n:]])
+        yield pd.DataFrame({"left": sides[0][:n], "right": sides[1][:n]}, dtype=object)
+
+
+def align(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs the i-th ``value`` (string) of one stream with the i-th of the other; both have ``seq``. Order is global, so this is one state."""
+    both = left.select("seq", "value", F.lit(0).alias("_source")).unionByName(right.select("seq", "value", F.lit(1).alias("_source")))
+    return both.withColumn("_all", F.lit(0)).groupBy("_all").transformWithStateInPandas(Align(), "left string, right string", "Append", "None")
