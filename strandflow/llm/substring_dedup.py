@@ -9,11 +9,13 @@ right: a factor grows while the next window is found too; where it ends, the
 windows across its boundary are looked at one by one, so factors that meet or
 overlap are all found.
 
-Only windows that can repeat reach the index. Each window is represented by its
+A document whose words are, all in order, those of a document with a smaller
+doc_id goes as a whole, by a key of its word sequence. Of the rest, only windows
+that can repeat reach the index. Each window is represented by its
 minimiser (the least hash of its ``size - reach + 1`` runs of ``reach`` words);
 equal windows have equal minimisers, so a window whose minimiser occurs in one
-document alone can't be a copy. Minimisers of two or more documents go into a
-bit filter of bounded size, which is broadcast; false positives are settled by
+word sequence alone can't be a copy. Minimisers of two or more different word
+sequences go into a bit filter of bounded size, which is broadcast; false positives are settled by
 the join. Counts for popular windows are combined before the shuffle, and the
 join back is one that Spark may split at popular windows.
 
@@ -78,13 +80,19 @@ def _distinct(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[new], doc[new]
 
 
+def _wholes(words: K.Words, size: int) -> np.ndarray:
+    """Key of each document's word sequence; 0 for one that is too short for a window."""
+    hashes, first = words.hashes(), words.first.tolist()
+    return np.array([K.windows(hashes[a:b], b - a, 2)[0] if b - a >= size else 0 for a, b in zip(first[:-1], first[1:], strict=True)], np.uint64).view(np.int64)
+
+
 def _anchors(size: int, shared=None):
-    """Distinct minimisers of each document; with a filter, the distinct windows whose minimiser is in it."""
+    """Key and distinct minimisers of each document; with a filter, its distinct windows whose minimiser is in it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in K.pieces(batch.column("text")):
-                _, _, doc, window, least = _windows(data, at, size)
+                words, _, doc, window, least = _windows(data, at, size)
                 if shared is None:
                     run = np.ones(len(least), bool)
                     run[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
@@ -92,7 +100,7 @@ def _anchors(size: int, shared=None):
                 else:
                     found = bit_filter.test(shared.value, least)
                     values, doc = _distinct(window[found], doc[found])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), _lists(values, doc, hi - lo)], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(_wholes(words, size)), _lists(values, doc, hi - lo)], ["doc_id", "whole", "hashes"])
 
     return emit
 
@@ -111,15 +119,19 @@ def _removed(size: int, column: str | None):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(column) if column else None
+            copies = batch.column("copies").to_pylist() if column else None
             n_words, n_removed, digest = [], [], []
             for lo, hi, data, at in K.pieces(batch.column("text")):
                 words, place, doc, window, _ = _windows(data, at, size) if column else (K.words(data, at), *[np.zeros(0, np.int64)] * 4)
+                same = [w in (c or ()) for w, c in zip(_wholes(words, size).tolist(), copies[lo:hi], strict=True)] if column else None
                 raw = data.tobytes()
                 edge = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for d in range(hi - lo):
                     a, b = words.first[d], words.first[d + 1]
                     keep = np.ones(b - a, bool)
-                    if column and found[lo + d].is_valid:
+                    if column and same[d]:
+                        keep[:] = False
+                    elif column and found[lo + d].is_valid:
                         own = np.sort(found[lo + d].values.to_numpy(zero_copy_only=False).view(np.uint64))
                         here = slice(edge[d], edge[d + 1])
                         for s, e in parse(place[here][K.in_sorted(window[here], own) >= 0] - a, size, b - a):
@@ -153,19 +165,22 @@ def _chosen(shared, wanted: bool):
 
 
 def duplicate_windows(docs: DataFrame, size: int = 50) -> DataFrame:
-    """(doc_id, hashes): for each document the windows that also start in a document with a smaller doc_id."""
+    """(doc_id, copies, hashes): the keys under which a document is wholly a copy, and else its windows that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
-    emitted = "doc_id long, hashes array<long>"
-    anchors = docs.mapInArrow(_anchors(size), emitted).select("doc_id", F.explode("hashes").alias("h"))
-    twice = lambda df: df.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    repeated = materialize(twice(anchors).select("h"))
-    bits = bit_filter.bits_for(repeated.count())
-    shared = spark.sparkContext.broadcast(bit_filter.build(repeated, F.col("h"), bits))
-    windows = docs.mapInArrow(_anchors(size, shared), emitted).select("doc_id", F.explode("hashes").alias("h"))
-    index = twice(windows).select("h", "least")
+    emitted = "doc_id long, whole long, hashes array<long>"
+    anchors = materialize(docs.mapInArrow(_anchors(size), emitted))
+    keys = anchors.select("doc_id", "whole").where("whole <> 0")
+    first = keys.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = materialize(keys.join(first, "whole").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("whole").alias("copies")))
+
+    minimisers = anchors.select("whole", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b")
+    repeated = materialize(minimisers.select("h"))
+    shared = spark.sparkContext.broadcast(bit_filter.build(repeated, F.col("h"), bit_filter.bits_for(repeated.count())))
+    windows = docs.mapInArrow(_anchors(size, shared), emitted).where("size(hashes) > 0").select("doc_id", F.explode("hashes").alias("h"))
+    index = windows.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
     found = windows.join(index, "h").where("doc_id > least")
-    return found.groupBy("doc_id").agg(F.collect_set("h").alias("hashes"))
+    return found.groupBy("doc_id").agg(F.collect_set("h").alias("hashes")).join(copies, "doc_id", "full_outer")
 
 
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel looks at together; one longer document is a piece of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Bytes that are hashed together (a longer word counts as one step).
 STEP = 1 << 17
 
