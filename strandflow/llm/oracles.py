@@ -52,7 +52,7 @@ x as (select greatest((select case when hi < 1e-12 then 0 else hi end from even
 w as materialized (select source, n_docs, n_tokens as total_tokens, p ** e / sum(p ** e) over () as weight, cast(round(p ** e / sum(p ** e) over () * total) as bigint) as quota from s, x),
 q as materialized (select source, weight, cast(ceil(n_docs / 512) as bigint) as blocks, quota // total_tokens as full_epochs, quota % total_tokens as part from w),
 placed as materialized (select t.*, q.*exclude (source), cast('0x' || substr(md5('mix:' || source || ':' || coalesce(cast(doc_id as varchar), '-' || n_tokens)), 1, 8) as bigint) % blocks as block from t join q using (source)),
-b as (select source, block, full_epochs, part, sum(n_tokens) as tokens, unnest(range(0, cast(full_epochs + 1 as bigint))) as epoch from placed group by all),
+b as (select *, unnest(range(0, cast(full_epochs + 1 as bigint))) as epoch from (select source, block, full_epochs, part, sum(n_tokens) as tokens from placed group by all)),
 r as (select *, row_number() over (partition by source, epoch order by md5('mix:' || epoch || ':' || source || ':' || block), block) as block_rank,
   sum(tokens) over (partition by source, epoch order by md5('mix:' || epoch || ':' || source || ':' || block), block rows unbounded preceding) - tokens as before from b),
 o as (select source, weight, epoch, block_rank, before, full_epochs, placed.part, doc_id, n_tokens,
