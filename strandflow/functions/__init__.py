@@ -31,15 +31,14 @@ def fnv1a64_of(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else str(x) for v, x in zip(values, h.tolist(), strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
-def _fnv1a64(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fnv_batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for values in parts:
         yield fnv1a64_of(values)
 
 
 def fnv1a64(value: Column) -> Column:
-    """FNV-1a 64 of a string column as decimal(20,0)."""
-    return _fnv1a64(value).cast("decimal(20,0)")
+    """FNV-1a 64 of a string column as decimal(20,0), computed on Arrow batches."""
+    return F.pandas_udf(_fnv_batches, "string")(value).cast("decimal(20,0)")
 
 
 def byte_length(value: Column) -> Column:

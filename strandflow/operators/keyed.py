@@ -32,9 +32,9 @@ def round_robin(df: DataFrame, parts: int, order: str = "seq") -> DataFrame:
     return number(df, order).withColumn("_partition", (F.col("_pos") % parts).cast("int")).drop("_pos")
 
 
-def running_fold(df: DataFrame, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
+def running_fold(df: DataFrame, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), order: str = "seq", cuts: list[float] | None = None) -> DataFrame:
     """State after each row, for folds that Spark knows; hot keys are spread."""
-    return running(df, order, folds, keys)
+    return running(df, order, folds, keys, cuts=cuts)
 
 
 def final_fold(df: DataFrame, keys: tuple[str, ...], **folds: Column) -> DataFrame:

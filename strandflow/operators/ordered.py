@@ -8,53 +8,81 @@ before a range is added inside it. One shuffle of the rows, by key and range.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _FOLDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+#: Rows that one task may fold in order; more rows are cut into ranges, at most MOST_RANGES of them.
+ROWS_PER_RANGE = 2_000_000
+MOST_RANGES = 1024
+
+
+def _parts(rows: int) -> int:
+    return min(MOST_RANGES, -(-rows // ROWS_PER_RANGE))
 
 
-def _ranges(df: DataFrame, order: str, parts: int) -> Column:
-    """Range of a row: how many of the quantiles it has reached. Any cuts give the same result; good ones spread evenly."""
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    cuts = sorted({c for c in cuts if c is not None})
-    reached = F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c <= F.col(order).cast("double"))
-    return F.size(reached) if cuts else F.lit(0)
+def even_cuts(rows: int) -> list[float]:
+    """Cuts for positions 0 to ``rows`` - 1."""
+    n = _parts(rows)
+    return [float(rows * i // n) for i in range(1, n)]
 
 
-def running(df: DataFrame, order: str, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+def quantile_cuts(df: DataFrame, order: str, rows: int | None = None) -> list[float]:
+    """Cuts at approximate quantiles of a numeric column. Any cuts give the same results; these spread evenly.
+
+    Costs a count and, for large inputs, a pass over the column; take them from
+    a table near the source and hand them on where the order stays the same.
+    """
+    n = _parts(df.count() if rows is None else rows)
+    found = df.approxQuantile(order, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    return sorted({c for c in found if c is not None})
+
+
+def _range(order: Column, cuts: list[float]) -> Column:
+    """How many cuts a value has reached, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*(F.lit(float(c)) for c in [*cuts, *[float("inf")] * ((1 << len(cuts).bit_length()) - len(cuts))]))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    value = order.cast("double")
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.element_at(table, at + step) <= value, step).otherwise(0)), F.lit(0))
+
+
+def running(df: DataFrame, order: str, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), cuts: list[float] | None = None) -> DataFrame:
     """Adds a column for each fold: ``{name: (sum | count | min | max, column)}`` from the first row up to this one.
 
-    ``order`` is a numeric column; rows of equal ``order`` come by ``ties``.
-    Null keys are a key. Nulls in folded columns are passed over.
+    ``order`` is a numeric column; rows of equal ``order`` come by ``ties``, null
+    order comes first. Null keys are a key. Nulls in folded columns are passed
+    over. ``cuts``: where to cut the order, by default at its quantiles.
     """
-    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = quantile_cuts(df, order) if cuts is None else cuts
     inner = {f"_v{i}": column for i, (_, column) in enumerate(folds.values())}
-    rows = df.withColumns(inner).withColumn("_range", _ranges(df, order, parts))
+    rows = df.withColumns({**inner, "_range": _range(F.col(order), cuts)})
     group = [*keys, "_range"]
+    so_far = Window.partitionBy(*group).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = {name: _FOLDS[kind](f"_v{i}").over(so_far) for i, (name, (kind, _)) in enumerate(folds.items())}
+    if not cuts:
+        return rows.withColumns(here).drop(*inner, "_range")
     totals = rows.groupBy(*group).agg(*(_FOLDS[kind](f"_v{i}").alias(f"_t{i}") for i, (kind, _) in enumerate(folds.values())))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    again = {"count": F.sum}
-    totals = totals.select(*group, *((again.get(kind) or _FOLDS[kind])(f"_t{i}").over(before).alias(f"_b{i}") for i, (kind, _) in enumerate(folds.values())))
-    totals = totals.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(group)), *(f"_b{i}" for i in range(len(folds))))
-    same = None
-    for j, k in enumerate(group):
-        one = F.col(k).eqNullSafe(F.col(f"_k{j}"))
-        same = one if same is None else same & one
+    again = {**_FOLDS, "count": F.sum}
+    totals = totals.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(group)), *(again[kind](f"_t{i}").over(before).alias(f"_b{i}") for i, (kind, _) in enumerate(folds.values())))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(group)))
     rows = rows.join(totals, same, "left")
-    so_far = Window.partitionBy(*group).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {}
     for i, (name, (kind, _)) in enumerate(folds.items()):
-        here, earlier = _FOLDS[kind](f"_v{i}").over(so_far), F.col(f"_b{i}")
+        earlier = F.col(f"_b{i}")
         if kind in ("sum", "count"):
-            out[name] = F.when(earlier.isNull(), here).otherwise(F.coalesce(here, F.lit(0)) + earlier)
+            out[name] = F.when(earlier.isNull(), here[name]).otherwise(F.coalesce(here[name], F.lit(0)) + earlier)
         else:
-            out[name] = (F.least if kind == "min" else F.greatest)(here, earlier)
-    extra = [f"_k{j}" for j in range(len(group))] + [f"_b{i}" for i in range(len(folds))] + list(inner) + ["_range"]
-    return rows.withColumns(out).drop(*extra)
+            out[name] = (F.least if kind == "min" else F.greatest)(here[name], earlier)
+    extra = [f"_k{j}" for j in range(len(group))] + [f"_b{i}" for i in range(len(folds))]
+    return rows.withColumns(out).drop(*extra, *inner, "_range")
 
 
-def number(df: DataFrame, order: str, name: str = "_pos", keys: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
+def number(df: DataFrame, order: str, name: str = "_pos", keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), cuts: list[float] | None = None) -> DataFrame:
     """Adds the position of each row in arrival order, from 0."""
-    return running(df, order, {name: ("count", F.lit(1))}, keys, ties).withColumn(name, F.col(name) - 1)
+    return running(df, order, {name: ("count", F.lit(1))}, keys, ties, cuts).withColumn(name, F.col(name) - 1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandflow.lineage import cut
+
 
 def roots(edges: DataFrame) -> DataFrame:
     """Nodes that are never a target."""
@@ -33,7 +35,7 @@ def layers(edges: DataFrame, most: int = 64) -> DataFrame:
     found, depth = frontier, 0
     while True:
         depth += 1
-        frontier = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = cut(frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         if depth > most:

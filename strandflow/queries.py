@@ -62,7 +62,7 @@ def naive_map_double(spark, sf):
 
 
 @query("""
-with w as (select doc_id, generate_subscripts(list_filter(string_split(text, ' '), x -> x <> ''), 1) as i, unnest(list_filter(string_split(text, ' '), x -> x <> '')) as word from documents)
+with w as (select doc_id, generate_subscripts(list_filter(string_split(text, ' '), lambda x: x <> ''), 1) as i, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) as word from documents)
 select word, cast(count(*) as bigint) as n from w group by word""")
 def bench_wordcount(spark, sf):
     docs = table(spark, sf, "documents")
@@ -265,11 +265,25 @@ def time_roundtrip(spark, sf):
     return nanos.withColumn("micros", F.unix_micros(fn.timestamp_of_nanos(F.col("nanos"))))
 
 
-def late_events(spark: SparkSession, sf: str, delay: int = DELAY) -> DataFrame:
-    """Events in deranged arrival order, with timestamps and operator-wide watermarks."""
-    arrived = events(spark, sf).withColumn("_a", F.expr(ARRIVAL))
-    arrived = op.number(arrived.drop("seq"), "_a", "seq", ties=("event_id",)).drop("_a")
-    return op.assign_time(arrived, F.col("sec"), F.col("sec") - delay)
+def _cuts(base: DataFrame) -> dict:
+    """Cuts of arrival order and of time, from the table itself."""
+    n = base.count()
+    return {"cuts": op.even_cuts(n), "time_cuts": op.quantile_cuts(base, "sec", n)}
+
+
+def timed_events(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """Events in order with timestamps and operator-wide watermarks, and where to cut them."""
+    base = events(spark, sf)
+    cuts = _cuts(base)
+    return op.watermark(op.assign_time(base, F.col("sec"), F.col("sec") - DELAY), cuts=cuts["cuts"]), cuts
+
+
+def late_events(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """The same with deranged arrival and each row's own watermark."""
+    base = events(spark, sf)
+    cuts = _cuts(base)
+    arrived = op.number(base.drop("seq").withColumn("_a", F.expr(ARRIVAL)), "_a", "seq", ties=("event_id",), cuts=cuts["cuts"]).drop("_a")
+    return op.assign_time(arrived, F.col("sec"), F.col("sec") - DELAY), cuts
 
 
 LATE = f"(select *, row_number() over (order by {ARRIVAL}, event_id) - 1 as seq, cast(floor(epoch(ts)) as bigint) as sec from events)"
@@ -277,7 +291,8 @@ LATE = f"(select *, row_number() over (order by {ARRIVAL}, event_id) - 1 as seq,
 
 @query(f"select seq, sec as ts, max(sec - {DELAY}) over (order by seq rows unbounded preceding) as wm from {LATE}")
 def watermark_running(spark, sf):
-    return op.watermark(late_events(spark, sf)).select("seq", F.col("_ts").alias("ts"), F.col("_wm").alias("wm"))
+    late, cuts = late_events(spark, sf)
+    return op.watermark(late, cuts=cuts["cuts"]).select("seq", F.col("_ts").alias("ts"), F.col("_wm").alias("wm"))
 
 
 _BY_SOURCE = ", ".join(f"max(case when user_id % 3 = {i} then sec - {DELAY} end) over (order by seq rows unbounded preceding)" for i in range(3))
@@ -285,8 +300,9 @@ _BY_SOURCE = ", ".join(f"max(case when user_id % 3 = {i} then sec - {DELAY} end)
 
 @query(f"select seq, least({_BY_SOURCE}) as wm from {LATE}")
 def watermark_multi_source(spark, sf):
-    tagged = late_events(spark, sf).withColumn("_source", F.col("user_id") % 3)
-    return op.merged_watermark(tagged, "_source", [0, 1, 2]).select("seq", F.col("_wm").alias("wm"))
+    late, cuts = late_events(spark, sf)
+    tagged = late.withColumn("_source", F.col("user_id") % 3)
+    return op.merged_watermark(tagged, "_source", [0, 1, 2], cuts=cuts["cuts"]).select("seq", F.col("_wm").alias("wm"))
 
 
 # Windows
@@ -327,38 +343,41 @@ CENTS = F.round(F.col("value") * 100).cast("long")
 
 @query(f"with {_fired(SIZE, SIZE)} select event_type, start, pane, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total from p group by 1, 2, 3")
 def window_tumbling_sum(spark, sf):
-    timed = op.watermark(op.assign_time(events(spark, sf), F.col("sec"), F.col("sec") - DELAY))
-    return op.fire(timed, ("event_type",), SIZE, SIZE, total=F.sum(CENTS)).select("event_type", "start", "pane", "total")
+    timed, cuts = timed_events(spark, sf)
+    return op.fire(timed, ("event_type",), SIZE, SIZE, **cuts, total=F.sum(CENTS)).select("event_type", "start", "pane", "total")
 
 
 @query(f"with {_fired(SIZE, SLIDE)} select event_type, start, pane, cast(count(*) as bigint) as n from p group by 1, 2, 3")
 def window_sliding_count(spark, sf):
-    timed = op.watermark(op.assign_time(events(spark, sf), F.col("sec"), F.col("sec") - DELAY))
-    return op.fire(timed, ("event_type",), SIZE, SLIDE, n=F.count("*")).select("event_type", "start", "pane", "n")
+    timed, cuts = timed_events(spark, sf)
+    return op.fire(timed, ("event_type",), SIZE, SLIDE, **cuts, n=F.count("*")).select("event_type", "start", "pane", "n")
 
 
 @query(f"with {_fired(SLIDE, SIZE)} select event_type, start, pane, cast(count(*) as bigint) as n from p group by 1, 2, 3")
 def window_gapped_count(spark, sf):
-    timed = op.watermark(op.assign_time(events(spark, sf), F.col("sec"), F.col("sec") - DELAY))
-    return op.fire(timed, ("event_type",), SLIDE, SIZE, n=F.count("*")).select("event_type", "start", "pane", "n")
+    timed, cuts = timed_events(spark, sf)
+    return op.fire(timed, ("event_type",), SLIDE, SIZE, **cuts, n=F.count("*")).select("event_type", "start", "pane", "n")
 
 
 @query(f"with {_fired(SIZE, SLIDE, LATE)} select event_type, start, pane, cast(count(*) as bigint) as n from p group by 1, 2, 3")
 def window_panes_late(spark, sf):
-    return op.fire(op.watermark(late_events(spark, sf)), ("event_type",), SIZE, SLIDE, n=F.count("*")).select("event_type", "start", "pane", "n")
+    late, cuts = late_events(spark, sf)
+    return op.fire(op.watermark(late, cuts=cuts["cuts"]), ("event_type",), SIZE, SLIDE, **cuts, n=F.count("*")).select("event_type", "start", "pane", "n")
 
 
 @query(f"with {_fired(SIZE, SIZE, LATE)} select event_type, start, pane, string_agg(event_id, ',' order by seq) as ids from p group by 1, 2, 3")
 def window_collect(spark, sf):
     from strandflow.operators.keyed import ordered_list
 
-    fired = op.fire(op.watermark(late_events(spark, sf)), ("event_type",), SIZE, SIZE, ids=F.concat_ws(",", ordered_list(F.col("event_id").cast("string"), F.col("seq"))))
+    late, cuts = late_events(spark, sf)
+    fired = op.fire(op.watermark(late, cuts=cuts["cuts"]), ("event_type",), SIZE, SIZE, **cuts, ids=F.concat_ws(",", ordered_list(F.col("event_id").cast("string"), F.col("seq"))))
     return fired.select("event_type", "start", "pane", "ids")
 
 
 @query(f"with {_fired(SIZE, SLIDE, LATE)} select event_type, start, pane, seq, cast(count(*) over (partition by event_type, start, pane order by seq rows unbounded preceding) as bigint) as n from p")
 def window_running_count(spark, sf):
-    each = op.fire_each(op.watermark(late_events(spark, sf)), ("event_type",), SIZE, SLIDE, n=("count", F.lit(1)))
+    late, cuts = late_events(spark, sf)
+    each = op.fire_each(op.watermark(late, cuts=cuts["cuts"]), ("event_type",), SIZE, SLIDE, **cuts, n=("count", F.lit(1)))
     return each.select("event_type", "start", "pane", "seq", "n")
 
 
