@@ -338,13 +338,10 @@ c as (select s.event_type, s.start, min(d.seq) as closed from s join d on d.even
 p as (select w.*, greatest(w.seq, c.closed) as pane from w join c on w.event_type = c.event_type and w.start = c.start)"""
 
 
-CENTS = F.round(F.col("value") * 100).cast("long")
-
-
 @query(f"with {_fired(SIZE, SIZE)} select event_type, start, pane, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total from p group by 1, 2, 3")
 def window_tumbling_sum(spark, sf):
     timed, cuts = timed_events(spark, sf)
-    return op.fire(timed, ("event_type",), SIZE, SIZE, **cuts, total=F.sum(CENTS)).select("event_type", "start", "pane", "total")
+    return op.fire(timed, ("event_type",), SIZE, SIZE, **cuts, total=F.sum(F.round(F.col("value") * 100).cast("long"))).select("event_type", "start", "pane", "total")
 
 
 @query(f"with {_fired(SIZE, SLIDE)} select event_type, start, pane, cast(count(*) as bigint) as n from p group by 1, 2, 3")

@@ -44,16 +44,23 @@ class RunningCount(StatefulProcessor):
         yield frame[[*self.columns, "n"]]
 
 
+def _plain(df: DataFrame) -> tuple[DataFrame, dict[str, str], str]:
+    """Columns under plain names (processors can't see names with leading underscores), the new name of each, and their schema."""
+    name = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*name.values()), name, ", ".join(f"{name[f.name]} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def running_count(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", n long"
-    return df.groupBy(key).transformWithStateInPandas(RunningCount(df.columns, order), schema, "Append", "None")
+    plain, name, schema = _plain(df)
+    out = plain.groupBy(name[key]).transformWithStateInPandas(RunningCount(plain.columns, name[order]), schema + ", n long", "Append", "None")
+    return out.toDF(*df.columns, "n")
 
 
 class RunningWatermark(StatefulProcessor):
     """The least, over the sources seen so far, of their running maximum watermark."""
 
-    def __init__(self, columns: list[str], order: str, source: str | None):
-        self.columns, self.order, self.source = columns, order, source
+    def __init__(self, columns: list[str], order: str, clock: str, source: str | None):
+        self.columns, self.order, self.clock, self.source = columns, order, clock, source
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "source string", "wm long")
@@ -63,26 +70,27 @@ class RunningWatermark(StatefulProcessor):
         seen = {k[0]: v[0] for k, v in self.seen.iterator()}
         clock = []
         sources = frame[self.source].astype(str) if self.source else ["" for _ in range(len(frame))]
-        for s, wm in zip(sources, frame["_wm"], strict=True):
+        for s, wm in zip(sources, frame[self.clock], strict=True):
             seen[s] = max(seen.get(s, wm), wm)
             clock.append(min(seen.values()))
         for s, wm in seen.items():
             self.seen.updateValue((s,), (int(wm),))
-        frame["_wm"] = clock
+        frame[self.clock] = clock
         yield frame[self.columns]
 
 
 def running_watermark(df: DataFrame, order: str = "seq", source: str | None = None) -> DataFrame:
     """Operator-wide watermark: one state, and so one task, as all inputs meet in it."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumn("_all", F.lit(0)).groupBy("_all").transformWithStateInPandas(RunningWatermark(df.columns, order, source), schema, "Append", "None")
+    plain, name, schema = _plain(df)
+    processor = RunningWatermark(plain.columns, name[order], name["_wm"], name[source] if source else None)
+    return plain.withColumn("everything", F.lit(0)).groupBy("everything").transformWithStateInPandas(processor, schema, "Append", "None").toDF(*df.columns)
 
 
 class Panes(StatefulProcessor):
     """Windows of one key: each row is folded into its windows, then those that the key's clock has passed fire."""
 
-    def __init__(self, key: str, size: int, slide: int, order: str):
-        self.key, self.size, self.slide, self.order = key, size, slide, order
+    def __init__(self, size: int, slide: int):
+        self.size, self.slide = size, slide
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clock = handle.getValueState("clock", "wm long")
@@ -92,7 +100,7 @@ class Panes(StatefulProcessor):
         clock = self.clock.get()[0] if self.clock.exists() else None
         held = {k[0]: tuple(v) for k, v in self.open.iterator()}
         before, out = set(held), []
-        for row in _sorted(rows, self.order).itertuples():
+        for row in _sorted(rows, "seq").itertuples():
             ts, wm, value = int(row.ts), int(row.wm), float(row.value)
             start = ts // self.slide * self.slide
             while ts >= 0 and start >= 0 and start + self.size > ts:
@@ -109,7 +117,7 @@ class Panes(StatefulProcessor):
             self.open.updateValue((start,), state)
         if clock is not None:
             self.clock.update((clock,))
-        yield pd.DataFrame(out, columns=[self.key, "start", "stop", "pane", "n", "total"])
+        yield pd.DataFrame(out, columns=["k", "start", "stop", "pane", "n", "total"])
 
 
 def fire(df: DataFrame, key: str, size: int, slide: int, value: Column | None = None, order: str = "seq") -> DataFrame:
@@ -117,9 +125,10 @@ def fire(df: DataFrame, key: str, size: int, slide: int, value: Column | None =
     if size <= 0 or slide <= 0:
         raise ValueError("window size and slide must be positive")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, F.col(order).alias("seq"), F.col("_ts").alias("ts"), F.col("_wm").alias("wm"), (F.lit(0.0) if value is None else value.cast("double")).alias("value"))
-    schema = f"{key} {kind}, start long, stop long, pane long, n long, total double"
-    return rows.groupBy(key).transformWithStateInPandas(Panes(key, size, slide, "seq"), schema, "Append", "None")
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("seq"), F.col("_ts").alias("ts"), F.col("_wm").alias("wm"), (F.lit(0.0) if value is None else value.cast("double")).alias("value"))
+    schema = f"k {kind}, start long, stop long, pane long, n long, total double"
+    out = rows.groupBy("k").transformWithStateInPandas(Panes(size, slide), schema, "Append", "None")
+    return out.withColumnRenamed("k", key)
 
 
 def native_windows(df: DataFrame, time: str, delay: str, size: str, slide: str | None, *keys: str, **folds: Column) -> DataFrame:
@@ -138,7 +147,7 @@ class Align(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _sorted(rows, "seq")
         sides = [[v[0] for v in s.get()] if s.exists() else [] for s in (self.left, self.right)]
-        for source, value in zip(frame["_source"], frame["value"], strict=True):
+        for source, value in zip(frame["side"], frame["value"], strict=True):
             sides[int(source)].append(value)
         n = min(map(len, sides))
         for state, values in zip((self.left, self.right), sides, strict=True):
@@ -150,5 +159,5 @@ class Align(StatefulProcessor):
 
 def align(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs the i-th ``value`` (string) of one stream with the i-th of the other; both have ``seq``. Order is global, so this is one state."""
-    both = left.select("seq", "value", F.lit(0).alias("_source")).unionByName(right.select("seq", "value", F.lit(1).alias("_source")))
-    return both.withColumn("_all", F.lit(0)).groupBy("_all").transformWithStateInPandas(Align(), "left string, right string", "Append", "None")
+    both = left.select("seq", "value", F.lit(0).alias("side")).unionByName(right.select("seq", "value", F.lit(1).alias("side")))
+    return both.withColumn("everything", F.lit(0)).groupBy("everything").transformWithStateInPandas(Align(), "left string, right string", "Append", "None")
