@@ -113,11 +113,18 @@ def parse(hit: np.ndarray, size: int, n_words: int) -> list[tuple[int, int]]:
     return [(int(part[0]), min(int(part[-1]) + size, n_words)) for part in np.split(hit, cut)]
 
 
-def _removed(size: int, column: str | None):
-    """Applies the windows found for each document to its text."""
+def _in_filter(batch: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
+    key = batch.column("key").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return bit_filter.test(table, key) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+
+
+def _removed(size: int, column: str | None, shared=None):
+    """Applies the windows found for each document to its text; without ``column``, reports the rows that the filter clears."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not column:
+                batch = batch.filter(pa.array(~_in_filter(batch, shared.value)))
             found = batch.column(column) if column else None
             copies = batch.column("copies").to_pylist() if column else None
             n_words, n_removed, digest = [], [], []
@@ -152,14 +159,12 @@ def _removed(size: int, column: str | None):
     return remove
 
 
-def _chosen(shared, wanted: bool):
-    """Rows whose key may be in the filter, or those whose key is not."""
+def _chosen(shared):
+    """Rows whose key may be in the filter."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("key").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            hit = bit_filter.test(shared.value, key) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit == wanted)).select(["doc_id", "text"])
+            yield batch.filter(pa.array(_in_filter(batch, shared.value))).select(["doc_id", "text"])
 
     return choose
 
@@ -191,6 +196,6 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     shared = spark.sparkContext.broadcast(bit_filter.build(found, F.xxhash64("doc_id"), bits))
     keyed = docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumn("key", F.xxhash64("doc_id"))
     rows = "doc_id long, text string"
-    whole = keyed.mapInArrow(_chosen(shared, False), rows).mapInArrow(_removed(size, None), SCHEMA)
-    some = keyed.mapInArrow(_chosen(shared, True), rows).join(found, "doc_id", "left")
+    whole = keyed.mapInArrow(_removed(size, None, shared), SCHEMA)
+    some = keyed.mapInArrow(_chosen(shared), rows).join(found, "doc_id", "left")
     return whole.unionByName(some.mapInArrow(_removed(size, "hashes"), SCHEMA))
