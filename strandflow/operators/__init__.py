@@ -17,11 +17,11 @@ from strandflow.operators.keyed import (
     with_partition,
 )
 from strandflow.operators.ordered import even_cuts, number, quantile_cuts, running
-from strandflow.operators.stateless import flat_map, keep, map_values, pass_through
+from strandflow.operators.stateless import apply_function, flat_map, keep, map_values, pass_through
 from strandflow.operators.timed import assign_time, fire, fire_each, merged_watermark, panes, watermark, windows_of
 
 __all__ = [
-    "align", "assign_time", "dedupe_first", "dispatch", "even_cuts", "fan_out", "final_fold", "fire", "fire_each", "flat_map", "fold_opaque", "keep", "key_by",
+    "align", "apply_function", "assign_time", "dedupe_first", "dispatch", "even_cuts", "fan_out", "final_fold", "fire", "fire_each", "flat_map", "fold_opaque", "keep", "key_by",
     "keyed_join", "map_values", "merge", "merge_distinct", "merged_watermark", "number", "panes", "partition_of", "pass_through", "quantile_cuts", "round_robin",
     "running", "running_fold", "watermark", "windows_of", "with_partition",
 ]

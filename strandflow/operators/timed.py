@@ -41,9 +41,12 @@ def merged_watermark(df: DataFrame, source: str, sources: list, order: str = "se
     return out.withColumn(WM, clock).drop(*parts)
 
 
-def windows_of(df: DataFrame, size: int, slide: int, ts: str = TS) -> DataFrame:
-    """A row for each window that holds the row: columns ``start`` and ``stop``. Tumbling, sliding or gapped."""
-    return df.withColumn("start", F.explode(window_starts(F.col(ts), size, slide))).withColumn("stop", F.col("start") + size)
+def windows_of(df: DataFrame, size: int, slide: int, ts: str = TS, starts: Column | None = None) -> DataFrame:
+    """A row for each window that holds the row: columns ``start`` and ``stop``. Tumbling, sliding or gapped.
+
+    ``starts``: another assigner, an array column of the starts of the row's windows.
+    """
+    return df.withColumn("start", F.explode(window_starts(F.col(ts), size, slide) if starts is None else starts)).withColumn("stop", F.col("start") + size)
 
 
 def panes(df: DataFrame, keys: tuple[str, ...], size: int, slide: int, order: str = "seq", cuts: list[float] | None = None, time_cuts: list[float] | None = None) -> DataFrame:

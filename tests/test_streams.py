@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandflow import functions as fn
 from strandflow import operators as op
-from strandflow import sources
+from strandflow import sinks, sources
 from strandflow.operators import keyed, ordered
 
 
@@ -275,3 +275,36 @@ def test_words_and_copies(spark):
     df = sources.words(spark, 5000)
     assert df.count() == 5000 and df.select("value").distinct().count() == 128
     assert sources.replicated(stream(spark, [1, 2], "int"), 3).count() == 6
+
+
+def test_opaque_functions_and_other_assigners(spark):
+    def upper(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("seq"), pc.utf8_upper(b.column("value"))], ["seq", "value"])
+
+    got = op.apply_function(stream(spark, WORDS), upper, "seq long, value string")
+    assert sinks.log(got, "string") == [w.upper() for w in WORDS]
+    day = op.windows_of(stream(spark, [5], "long"), 10, 10, "value", starts=F.array(F.lit(0), F.lit(-5)).cast("array<long>"))
+    assert sorted((r["start"], r["stop"]) for r in day.collect()) == [(-5, 5), (0, 10)]
+
+
+# Sinks
+
+
+def test_sinks(spark, tmp_path):
+    df = stream(spark, [3, 1, 2], "int")
+    assert sinks.log(df, "int") == [3, 1, 2]
+    with pytest.raises(TypeError):
+        sinks.log(df, "string")
+    sinks.discard(df)
+    sinks.each_partition(df, lambda rows: list(rows))
+    df.write.parquet(str(tmp_path / "in"))
+    source = sources.file_stream(spark, str(tmp_path / "in"), "seq long, value int")
+    sinks.stream_log(source, "logged").awaitTermination(120)
+    assert sorted(r["value"] for r in spark.table("logged").collect()) == [1, 2, 3]
+    seen = []
+    sinks.stream_batches(source, lambda d, i: seen.extend(r["value"] for r in d.collect()), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(seen) == [1, 2, 3]
