@@ -24,9 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Tables that this process has written into the shared folder.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written; call it when results that read them are stored. Returns their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: a lost executor costs no recomputation."""
+    """Writes a table into the shared folder and reads it back: a lost executor costs no recomputation.
+
+    Results are lazy and may read it later, so it stays until ``release``.
+    """
     path = f"{shared_dir(df.sparkSession)}/strandflow-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ import zlib
 import pytest
 
 from strandflow.llm import decontamination, media_chunks, secret_scan, substring_dedup
-from strandflow.llm.tables import table  # noqa: F401
+from strandflow.llm.tables import materialize, release
 from tests.llm.conftest import corpus, words
 
 
@@ -159,3 +159,33 @@ def test_substring_dedup_odd_ids(make):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
     assert media_chunks.media_reports(df.limit(0)).count() == 0
     assert media_chunks.media_reports(df).count() == 4
+
+
+def test_written_tables_can_be_released(spark):
+    df = materialize(spark.range(3))
+    (path,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    assert df.count() == 3 and release(spark) > 0 and release(spark) == 0
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_long_texts_and_wide_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from strandflow.llm import textkernels as K
+
+    texts = ["a b", "word " * 300_000, "y" * 700_000 + " z", "", None, "é ü"]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(["skipped", *texts], kind).slice(1)
+        found = [[] for _ in texts]
+        for lo, hi, data, at in K.pieces(whole, 1000):
+            w = K.words(data, at)
+            h = w.hashes()
+            for d in range(hi - lo):
+                found[lo + d] = h[w.first[d] : w.first[d + 1]].tolist()
+        assert [len(f) for f in found] == [len((t or "").split()) for t in texts]
+        assert len(set(found[1])) == 1 and len({*found[0], *found[2], *found[5]}) == 6
+    h = np.arange(50, dtype=np.uint64)
+    assert (K.windows(h, 7)[3:20] == K.windows(h[3:], 7)[:17]).all()
