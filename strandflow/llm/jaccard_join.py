@@ -10,7 +10,9 @@ Documents with equal sets are one row of the matrix. Two rows link when
    (non-empty blocks - largest difference) of them. Rows are grouped by their
    content in a block, in hash buckets of the column blocks; rows that meet
    others in fewer blocks than their sizes ask for are discarded.
-2. Product against pivots. Rows that meet share a pivot, the least row there.
+2. Product against pivots. Rows that meet share a pivot, the least row there. A
+   row leaves out the pivots it meets least, in all in less than half of the
+   blocks its sizes ask for: of two linked rows' common blocks one remains.
    Overlaps with the pivot are counted exactly. With d the symmetric difference
    from the pivot and f = (den - num) * size - (den + num) * d, two rows x, y
    of a pivot link exactly when f(x) + f(y) + 2 * (den + num) * c >= 0, c being
@@ -38,8 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm import bit_filter
@@ -48,9 +49,15 @@ from strandflow.llm.components import components
 from strandflow.llm.tables import materialize
 
 #: Column blocks for each block that may differ.
-SPARE = 1.25
-#: Rows of a block in step 3.
-OPEN_ROWS, MEMBER_ROWS = 512, 4096
+SPARE = 1.5
+#: Rows of a pivot that step 3 takes together; larger groups are taken by pairs of parts.
+PART_ROWS = 4096
+#: Hash buckets of column blocks, at least; at scale as many as shuffle partitions.
+BUCKETS = 64
+
+
+#: Larger needs are asked for in part.
+MOST_NEED = 32767
 
 
 @dataclass(frozen=True)
@@ -130,15 +137,15 @@ def _summary(rule: Rule):
 
 def pack(node: np.ndarray, meta: np.ndarray, many: np.ndarray, keys: np.ndarray) -> bytes:
     """Part of a bucket: rows (node, meta = need and slot, number of keys) and the low 48 bits of their keys."""
-    return b"".join([np.uint32(len(node)).tobytes(), node.astype(np.int64).tobytes(), meta.astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
+    return b"".join([np.uint32(len(node)).tobytes(), node.astype(np.int64).tobytes(), meta.astype(np.uint16).tobytes(), many.astype(np.uint32).tobytes(), keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
 
 
 def unpack(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(part, np.uint32, 1)[0])
     node = np.frombuffer(part, np.int64, n, 4)
-    meta = np.frombuffer(part, np.uint32, n, 4 + 8 * n)
-    many = np.frombuffer(part, np.uint32, n, 4 + 12 * n)
-    low = np.frombuffer(part, np.uint8, offset=4 + 16 * n).reshape(-1, 6)
+    meta = np.frombuffer(part, np.uint16, n, 4 + 8 * n)
+    many = np.frombuffer(part, np.uint32, n, 4 + 10 * n)
+    low = np.frombuffer(part, np.uint8, offset=4 + 14 * n).reshape(-1, 6)
     keys = np.zeros((len(low), 8), np.uint8)
     keys[:, :6] = low
     return node, meta, many, keys.view(np.uint64).ravel()
@@ -183,7 +190,7 @@ def _incidence(rule: Rule, buckets: int, most_keys: int = 2_000_000):
                 for slot, need, found in block_keys(own, rule, tops):
                     keys.append(found)
                     nodes.append(node)
-                    metas.append(need * 2 + slot)
+                    metas.append(min(need, MOST_NEED) * 2 + slot)
                     total += len(found)
                 if total >= most_keys:
                     yield from flush()
@@ -225,13 +232,26 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["node", "meta", "pivot", "n"])
 
 
+def _worth(pivots: Column, need: Column) -> Column:
+    """Pivots of (n, pivot) entries without those of the least n that add up to less than half of ``need``."""
+    ascending = F.array_sort(pivots)
+    room = F.floor((need - 1) / 2)
+    state = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + x["n"]
+        return F.struct(total.alias("sum"), F.when(total > room, F.concat(acc["kept"], F.array(x["pivot"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return F.aggregate(ascending, state, step)["kept"]
+
+
 def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
     """(node, pivot) of rows that meet enough others, each pivot with itself too."""
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = docs.mapInArrow(_incidence(rule, buckets), "bucket int, part binary").repartition(buckets, "bucket")
-    met = parts.mapInArrow(_meetings, "node long, meta long, pivot long, n long")
-    met = met.groupBy("node", "meta").agg(F.sum("n").alias("n"), F.collect_set("pivot").alias("pivots")).where("n >= meta div 2")
-    pairs = met.select("node", F.explode("pivots").alias("pivot"))
+    met = parts.mapInArrow(_meetings, "node long, meta long, pivot long, n long").groupBy("node", "meta", "pivot").agg(F.sum("n").alias("n"))
+    met = met.groupBy("node", "meta").agg(F.sum("n").alias("total"), F.collect_list(F.struct("n", "pivot")).alias("pivots")).withColumn("need", F.expr("meta div 2"))
+    pairs = met.where("total >= need").select("node", F.explode(_worth(F.col("pivots"), F.col("need"))).alias("pivot"))
     return pairs.unionByName(pairs.select(F.col("pivot").alias("node"), "pivot")).distinct()
 
 
@@ -251,29 +271,43 @@ def _sets(rule: Rule, shared):
     return emit
 
 
-def _deltas(rule: Rule):
+def _apart(own: bytes, other: bytes) -> np.ndarray:
+    """Elements of one set alone."""
+    if own == other:
+        return np.zeros(0, np.uint64)
+    return np.setxor1d(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64), assume_unique=True)
+
+
+def _judge(rule: Rule):
+    """f of each row against its pivot."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, delta = [], []
-            for n, own, other in zip(batch.column("n").to_pylist(), batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True):
-                apart = np.setxor1d(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64), assume_unique=True) if own != other else np.zeros(0, np.uint64)
-                f.append((rule.den - rule.num) * n - (rule.den + rule.num) * len(apart))
-                delta.append(apart.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node"), pa.array(f, pa.int64()), pa.array(delta, pa.binary())], ["pivot", "node", "f", "delta"])
+            f = [
+                (rule.den - rule.num) * n - (rule.den + rule.num) * len(_apart(own, other))
+                for n, own, other in zip(batch.column("n").to_pylist(), batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node"), pa.array(f, pa.int64())], ["pivot", "node", "f"])
 
     return emit
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        delta = [_apart(own, other).tobytes() for own, other in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+        names = ["pivot", "node", "f", "open", "parts"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(delta, pa.binary())], [*names, "delta"])
+
+
 def _forest(rule: Rule):
-    """Spanning forest of the links between open rows and members of a pivot, in one block."""
-
-    def join(block: pa.Table) -> pa.Table:
-        left, right = block.filter(block.column("open")), block.filter(pc.invert(block.column("open")))
-        x, y = left.column("node").to_pylist(), right.column("node").to_pylist()
-        fx, fy = left.column("f").to_numpy(), right.column("f").to_numpy()
-        sets = [np.frombuffer(d, np.uint64) for d in right.column("delta").to_pylist()]
-        owner = np.repeat(np.arange(len(y)), [len(s) for s in sets])
-        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    """Spanning forest of the links of open rows inside one part of a pivot's rows, or between two parts."""
+
+    def product(block: pa.Table) -> pa.Table:
+        node, f, part = block.column("node").to_pylist(), block.column("f").to_numpy(), block.column("part").to_numpy()
+        between = block.column("a")[0].as_py() != block.column("b")[0].as_py()
+        sets = [np.frombuffer(d, np.uint64) for d in block.column("delta").to_pylist()]
+        owner = np.repeat(np.arange(len(node)), [len(s) for s in sets])
+        every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         root: dict[int, int] = {}
@@ -285,20 +319,22 @@ def _forest(rule: Rule):
             return v
 
         out: list[tuple[int, int]] = []
-        for i, delta in enumerate(left.column("delta").to_pylist()):
-            own = np.frombuffer(delta, np.uint64)
-            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        for i in np.flatnonzero(block.column("open").to_numpy()).tolist():
+            lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
             many = hi - lo
             hits = owner[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            common = np.bincount(hits, minlength=len(y))
-            for j in np.flatnonzero(fx[i] + fy + 2 * (rule.den + rule.num) * common >= 0).tolist():
-                a, b = top(x[i]), top(y[j])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((x[i], y[j]))
-        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
+            common = np.bincount(hits, minlength=len(node))
+            linked = f[i] + f + 2 * (rule.den + rule.num) * common >= 0
+            if between:
+                linked &= part != part[i]
+            for j in np.flatnonzero(linked).tolist():
+                x, y = top(node[i]), top(node[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((node[i], node[j]))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
-    return join
+    return product
 
 
 def links(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -311,24 +347,20 @@ def links(docs: DataFrame, rule: Rule) -> DataFrame:
     sets = docs.mapInArrow(_sets(rule, shared), "node long, n long, own binary")
     wanted = sets.join(pairs.select("node").distinct(), "node", "left_semi")
     sets = materialize(wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own")))
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("own").alias("other")), "pivot")
-    members = materialize(both.mapInArrow(_deltas(rule), "pivot long, node long, f long, delta binary"))
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("own").alias("other"))
+    members = materialize(pairs.join(sets, "node").join(pivots, "pivot").mapInArrow(_judge(rule), "pivot long, node long, f long"))
 
     best = members.groupBy("pivot").agg(F.max(F.struct("f", "node")).alias("best"), F.count("*").alias("members"))
-    judged = members.select("pivot", "node", "f").join(best, "pivot")
-    star = judged.where("f + best.f >= 0 and node <> best.node").select(F.col("node").alias("u"), F.col("best.node").alias("v"))
-    left = materialize(judged.where("f + best.f < 0 and members > 2").select("pivot", "node", "members"))
-    groups = left.groupBy("pivot").agg(F.count("*").alias("open"), F.first("members").alias("members"))
-    groups = groups.select("pivot", F.ceil(F.col("open") / OPEN_ROWS).cast("int").alias("nu"), F.ceil(F.col("members") / MEMBER_ROWS).cast("int").alias("nm"))
-
-    dealt = members.join(groups, "pivot").withColumn("k", F.xxhash64("node"))
-    open_rows = dealt.join(left.select("pivot", "node"), ["pivot", "node"], "left_semi").select(
-        "pivot", "node", "f", "delta", F.pmod("k", "nu").cast("long").alias("bu"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("bm")
-    )
-    others = dealt.where(F.length("delta") > 0).select("pivot", "node", "f", "delta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nu").cast("long") - 1)).alias("bu"), F.pmod("k", "nm").cast("int").alias("bm"))
-    blocks = open_rows.withColumn("open", F.lit(True)).unionByName(others.withColumn("open", F.lit(False)))
-    more = blocks.groupBy("pivot", "bu", "bm").applyInArrow(_forest(rule), "u long, v long")
-    return star.unionByName(more)
+    judged = members.join(best, "pivot").withColumn("open", F.col("f") + F.col("best.f") < 0)
+    star = judged.where("not open and node <> best.node").select(F.col("node").alias("u"), F.col("best.node").alias("v"))
+    groups = judged.where("open and members > 2").groupBy("pivot").agg(F.ceil(F.first("members") / PART_ROWS).alias("parts"))
+    left = materialize(judged.where("members > 2 and node <> pivot").select("pivot", "node", "f", "open").join(groups, "pivot"))
+
+    kinds = "pivot long, node long, f long, open boolean, parts long, delta binary"
+    rows = left.join(sets.select("node", "own"), "node").join(pivots, "pivot").mapInArrow(_differences, kinds)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = rows.select("pivot", "node", "f", "open", "part", "delta", F.least("part", "j").alias("a"), F.greatest("part", "j").alias("b"))
+    return star.unionByName(blocks.groupBy("pivot", "a", "b").applyInArrow(_forest(rule), "u long, v long"))
 
 
 def classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:

@@ -88,8 +88,7 @@ def test_many_open_rows(make, monkeypatch):
     """Blocks of rows in step 3, forced small."""
     from strandflow.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "OPEN_ROWS", 7)
-    monkeypatch.setattr(jaccard_join, "MEMBER_ROWS", 11)
+    monkeypatch.setattr(jaccard_join, "PART_ROWS", 11)
     rows = near_copies(9, 120, 100, 14)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes(make(rows), Rule(3, 80, 100)).collect()}
     assert got == brute(rows, Rule(3, 80, 100))
