@@ -248,7 +248,7 @@ def _worth(pivots: Column, need: Column) -> Column:
 def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
     """(node, pivot) of rows that meet enough others, each pivot with itself too."""
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = docs.mapInArrow(_incidence(rule, buckets), "bucket int, part binary").repartition(buckets, "bucket")
+    parts = docs.mapInArrow(_incidence(rule, buckets), "bucket int, part binary").repartitionById(buckets, F.col("bucket"))
     met = parts.mapInArrow(_meetings, "node long, meta long, pivot long, n long").groupBy("node", "meta", "pivot").agg(F.sum("n").alias("n"))
     met = met.groupBy("node", "meta").agg(F.sum("n").alias("total"), F.collect_list(F.struct("n", "pivot")).alias("pivots")).withColumn("need", F.expr("meta div 2"))
     pairs = met.where("total >= need").select("node", F.explode(_worth(F.col("pivots"), F.col("need"))).alias("pivot"))
