@@ -8,11 +8,14 @@ In a spelling class, a word with count c has c / (N + n1 + 1) and the event of
 any unseen word (n1 + 1) / (N + n1 + 1), where N is the class's tokens and n1 its
 words seen once. So probabilities of all events sum to 1.
 
-Counts cover all training documents. The network's weights are fitted by
-truncated backpropagation on a bounded sample of them (``sample_docs``
-documents of at most ``most_bytes`` bytes, chosen by a hash of doc_id). Scoring
-runs over whole documents in windows, and the state is carried from window to
-window until the document's end token.
+Counts (of words, spellings, classes and class pairs) cover all training
+documents, and so does the network: in each epoch, documents are dealt by hash
+into shards of about ``SHARD`` tokens, each shard runs truncated backpropagation
+over all its tokens from the same weights, and the weights are averaged by tokens.
+Long texts take part whole: a shard is laid end to end and cut into parallel
+streams, whose state starts at zero and is carried from window to window and from
+block to block. Scoring runs over whole documents in windows, and the state is
+carried from window to window until the document's end token.
 
 Words with high counts (at most ``head`` of them) are broadcast; all other
 words of a document get their counts by a join.
@@ -23,11 +26,13 @@ hashes. An empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +47,9 @@ SPELLINGS = CLASSES - FREQUENT
 FALLBACK = 64
 HIDDEN = 32
 WINDOW = 32
+SHARD = 1 << 20  # tokens that one task learns from between two averages
+BLOCK = 1 << 20  # tokens that lie in memory while it does
+SLICES = 64  # parts of the weights that are averaged apart
 
 PASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,s:short,n:int>>"
 
@@ -56,12 +64,6 @@ class Spelling:
 
     suffixes: np.ndarray
 
-    @staticmethod
-    def learn(suffixes: np.ndarray) -> Spelling:
-        value, n = np.unique(suffixes, return_counts=True)
-        keep = np.lexsort((value, -n))[: SPELLINGS - FALLBACK]
-        return Spelling(np.sort(value[keep]))
-
     def __call__(self, words: K.Words) -> np.ndarray:
         last = words.suffixes(3)
         found = K.in_sorted(last, self.suffixes)
@@ -173,36 +175,12 @@ class Network:
         grads["x"] = (own[start], np.add.reduceat(d_x.reshape(-1, 3 * k)[order], start, axis=0))
         return -float(log_p.sum()), grads, h
 
-    def train(self, docs: list[np.ndarray], end: int, streams: int = 96, steps: int = WINDOW, epochs: int = 3, rate: float = 0.008, seed: int = 1) -> float:
-        """Truncated backpropagation with Adam over documents laid end to end in parallel streams; the last epoch's loss a token."""
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        done, loss = 0, 0.0
-        for epoch in range(epochs):
-            order = rng.permutation(len(docs))
-            line = np.concatenate([docs[i] for i in order]) if docs else np.zeros(0, np.int64)
-            rows = len(line) // streams
-            if rows < 2:
-                return 0.0
-            grid = line[: rows * streams].reshape(streams, rows).T
-            h = np.zeros((streams, self.hidden), np.float32)
-            loss, seen = 0.0, 0
-            total = epochs * (rows // steps + 1)
-            for t in range(0, rows - 1, steps):
-                before, target = grid[t : t + steps][: rows - 1 - t], grid[t + 1 : t + steps + 1]
-                found, grads, h = self.window(h, before, target, (before != end).astype(np.float32))
-                loss, seen, done = loss + found, seen + target.size, done + 1
-                lr = rate * max(0.05, 1 - done / total)
-                scale = 1.0 / target.size
-                for name, g in grads.items():
-                    at, g = g if name == "x" else (slice(None), g)
-                    g = np.clip(g * scale, -0.05, 0.05)
-                    m[name][at] = 0.9 * m[name][at] + 0.1 * g
-                    v[name][at] = 0.99 * v[name][at] + 0.01 * g * g
-                    self.p[name][at] -= np.float32(lr) * m[name][at] / (np.sqrt(v[name][at]) + np.float32(1e-6))
-            loss /= max(seen, 1)
-        return loss
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def set_flat(self, w: np.ndarray) -> None:
+        edges = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(self.p.items(), np.split(w, edges), strict=True)}
 
     def score(self, cls: np.ndarray, first: np.ndarray, end: int, window: int = WINDOW) -> np.ndarray:
         """Natural log-probability of each document's classes; ``first``: ranges of the documents."""
@@ -233,6 +211,50 @@ class Network:
         return back
 
 
+class Trainer:
+    """Truncated backpropagation with Adam over a line of documents laid end to end, block after block."""
+
+    def __init__(self, network: Network, end: int, streams: int = 96, steps: int = WINDOW, rate: float = 0.008):
+        self.net, self.end, self.streams, self.steps, self.rate = network, end, streams, steps, rate
+        self.m = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.v = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.last, self.h = end, np.zeros((1, network.hidden), np.float32)
+        self.seen, self.loss = 0, 0.0
+
+    def _walk(self, before: np.ndarray, target: np.ndarray, h: np.ndarray, progress, least: int) -> np.ndarray:
+        p, m, v = self.net.p, self.m, self.v
+        for t in range(0, len(before), self.steps):
+            b, y = before[t : t + self.steps], target[t : t + self.steps]
+            found, grads, h = self.net.window(h, b, y, (b != self.end).astype(np.float32))
+            lr = self.rate * max(0.05, 1 - progress(self.seen))
+            self.loss, self.seen = self.loss + found, self.seen + y.size
+            scale = 1.0 / max(y.size, least)
+            for name, g in grads.items():
+                at, g = g if name == "x" else (slice(None), g)
+                g = np.clip(g * scale, -0.05, 0.05)
+                m[name][at] = 0.9 * m[name][at] + 0.1 * g
+                v[name][at] = 0.99 * v[name][at] + 0.01 * g * g
+                p[name][at] -= np.float32(lr) * m[name][at] / (np.sqrt(v[name][at]) + np.float32(1e-6))
+        return h
+
+    def feed(self, line: np.ndarray, progress) -> None:
+        """Each class of the line is a target once. ``progress``: share of all training that is done, by tokens seen."""
+        if not len(line):
+            return
+        line = line.astype(np.int64)
+        before = np.concatenate([[self.last], line[:-1]])
+        rows = len(line) // self.streams
+        whole = rows * self.streams
+        if rows:
+            h = np.zeros((self.streams, self.net.hidden), np.float32)
+            h[0] = self.h[0]
+            h = self._walk(before[:whole].reshape(self.streams, rows).T, line[:whole].reshape(self.streams, rows).T, h, progress, 1)
+            self.h = h[-1:]
+        if whole < len(line):
+            self.h = self._walk(before[whole:, None], line[whole:, None], self.h, progress, self.streams * self.steps)
+        self.last = int(line[-1])
+
+
 def similar_groups(pairs: np.ndarray) -> np.ndarray:
     """SIDE x SIDE class ids, from counts of class pairs: halved again and again along the first principal direction."""
     x = np.sqrt(np.concatenate([pairs, pairs.T], 1))
@@ -273,17 +295,107 @@ class Model:
         return np.where(found >= 0, found, s.astype(np.int64) + FREQUENT).astype(np.int16)
 
 
-def _count(shared):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = shared.value
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by hash with their last three bytes (-1: end)."""
+    for batch in batches:
+        hashes, suffixes = [], []
+        for lo, hi, data, at in K.pieces(batch.column("text")):
+            words = K.words(data, at, K.NON_BLANK, K.LOWER)
+            hashes += [words.hashes(), np.full(hi - lo, END)]
+            suffixes += [words.suffixes(3).view(np.int64), np.full(hi - lo, -1, np.int64)]
+        if hashes:
+            h, at, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+            last = np.concatenate(suffixes)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(last), pa.array(n.astype(np.int64))], ["h", "suffix", "n"])
+
+
+def _lines(shared):
+    """The classes of each document, 16 bits each."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            parts = [tokens(data, at, spelling)[:2] for _, _, data, at in K.pieces(batch.column("text"))]
-            if parts:
-                h, at, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
-                s = np.concatenate([p[1] for p in parts])[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s), pa.array(n.astype(np.int64))], ["h", "s", "n"])
+            lines: list[bytes] = []
+            for lo, hi, data, at in K.pieces(batch.column("text")):
+                h, s, own = tokens(data, at, model.spelling)
+                c = model.classes(h, s)
+                lines += [c[own[d] : own[d + 1]].tobytes() for d in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.binary())], ["doc_id", "line"])
+
+    return emit
 
-    return count
+
+def _line(column: pa.Array) -> np.ndarray:
+    return K.string_bytes(column)[0].view(np.int16)
+
+
+def _pairs(end: int):
+    """Counts of neighbouring classes; a document follows an end."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            line = np.concatenate([[end], _line(batch.column("line"))]).astype(np.int64)
+            found += np.bincount(line[:-1] * CLASSES + line[1:], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["pair", "n"])
+
+    return emit
+
+
+def _learn(shared, end: int, epoch: int, epochs: int, expected: float):
+    """The weights after one shard, in slices."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = copy.copy(shared.value)
+        network.set_flat(network.flat())  # arrays of its own: other tasks of this worker read the broadcast
+        trainer = Trainer(network, end)
+        progress = lambda seen: (epoch + min(1.0, seen / expected)) / epochs
+        parts, n = [], 0
+        for batch in batches:
+            line = _line(batch.column("line"))
+            while n + len(line) >= BLOCK:
+                trainer.feed(np.concatenate([*parts, line[: BLOCK - n]]), progress)
+                line, parts, n = line[BLOCK - n :], [], 0
+            parts, n = [*parts, line.copy()], n + len(line)
+        trainer.feed(np.concatenate([*parts, np.zeros(0, np.int16)]), progress)
+        if trainer.seen:
+            slices = [w.tobytes() for w in np.array_split(network.flat(), SLICES)]
+            shard = np.full(SLICES, TaskContext.get().partitionId())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard, pa.int32()), pa.array(np.arange(SLICES), pa.int32()), pa.array(np.full(SLICES, trainer.seen), pa.int64()), pa.array(slices, pa.binary())],
+                ["shard", "slice", "seen", "w"],
+            )
+
+    return learn
+
+
+def _average(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("shard")
+    seen, total = rows.column("seen").to_numpy(), 0.0
+    for n, w in zip(seen.tolist(), rows.column("w"), strict=True):
+        total = total + n * np.frombuffer(w.as_py(), np.float32).astype(np.float64)
+    mean = (total / seen.sum()).astype(np.float32)
+    return pa.table({"slice": rows.column("slice")[:1], "seen": pa.array([int(seen.sum())], pa.int64()), "w": pa.array([mean.tobytes()], pa.binary())})
+
+
+def train_network(network: Network, lines: DataFrame, end: int, total: int, epochs: int) -> int:
+    """Fits the network to all of ``lines`` (doc_id, line), of ``total`` tokens; returns the tokens of the last epoch."""
+    context = lines.sparkSession.sparkContext
+    shards = max(1, -(-total // SHARD))
+    seen = 0
+    for epoch in range(epochs):
+        dealt = lines.withColumn("_k", F.xxhash64("doc_id", "line", F.lit(epoch)))
+        # another hash: within a shard, _k still has all values
+        dealt = dealt.repartitionById(shards, F.pmod(F.xxhash64("_k"), F.lit(shards)).cast("int")).sortWithinPartitions("_k", "doc_id", "line")
+        shared = context.broadcast(network)
+        learned = dealt.select("line").mapInArrow(_learn(shared, end, epoch, epochs, max(total / shards, 1.0)), "shard int, slice int, seen long, w binary")
+        mean = sorted(learned.groupBy("slice").applyInArrow(_average, "slice int, seen long, w binary").collect(), key=lambda r: r["slice"])
+        if mean:
+            network.set_flat(np.concatenate([np.frombuffer(r["w"], np.float32) for r in mean]))
+            seen = mean[0]["seen"]
+        shared.unpersist()
+    return seen
 
 
 def _pass(shared):
@@ -334,23 +446,18 @@ def _pass(shared):
     return score
 
 
-def _sample(train: DataFrame, sample_docs: int, most_bytes: int) -> list[str]:
-    """Texts of about ``sample_docs`` training documents, of at most ``most_bytes`` bytes each."""
-    n = max(train.count(), 1)
-    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    rows = train.where((share * n < sample_docs) & (F.octet_length("text") <= most_bytes)).select("doc_id", "text").collect()
-    return [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
-
-
-def fit(docs: DataFrame, head: int, sample_docs: int, most_bytes: int, epochs: int) -> tuple[Model, DataFrame, np.ndarray]:
+def fit(docs: DataFrame, head: int, epochs: int) -> tuple[Model, DataFrame, np.ndarray]:
     """The model, the counts (h, s, n) of words beyond its head, and log10 of the weight of the unseen by spelling class."""
     spark = docs.sparkSession
     train = docs.where(~held_out(7, 2))
-    texts = pa.array(_sample(train, sample_docs, most_bytes), pa.string())
-    spelling = Spelling.learn(np.concatenate([K.words(data, at, K.NON_BLANK, K.LOWER).suffixes(3) for _, _, data, at in K.pieces(texts)] or [np.zeros(0, np.uint64)]))
-    counts = train.select("text").mapInArrow(_count(spark.sparkContext.broadcast(spelling)), "h long, s short, n long")
+    found = materialize(train.select("text").mapInArrow(_count, "h long, suffix long, n long").groupBy("h", "suffix").agg(F.sum("n").alias("n")))
+    common = found.where("suffix >= 0").groupBy("suffix").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "suffix").limit(SPELLINGS - FALLBACK)
+    suffixes = np.array(sorted(r["suffix"] for r in common.collect()), np.int64)
+    spelling = Spelling(suffixes.view(np.uint64))
+    listed = spark.createDataFrame(list(zip(suffixes.tolist(), range(FALLBACK, FALLBACK + len(suffixes)), strict=True)), "suffix long, at int")
+    s = F.when(F.col("suffix") < 0, -1).otherwise(F.coalesce("at", F.col("suffix").bitwiseAND(FALLBACK - 1)))
     level = F.floor(F.log2("n") * 8).cast("int")
-    counts = materialize(counts.groupBy("h", "s").agg(F.sum("n").alias("n")).withColumn("level", level))
+    counts = found.join(F.broadcast(listed), "suffix", "left").select("h", s.cast("short").alias("s"), "n", level.alias("level"))
     sizes = counts.groupBy("level").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
     total, distinct = sum(r["n"] for r in sizes), sum(r["words"] for r in sizes)
     least, room = 1 << 20, head
@@ -366,33 +473,32 @@ def fit(docs: DataFrame, head: int, sample_docs: int, most_bytes: int, epochs: i
     top = np.lexsort((h, -n))
     top = top[h[top] != END][: FREQUENT - 1]
     frequent = np.sort(np.append(h[top], END))
-    in_class, once = np.zeros(CLASSES), np.zeros(CLASSES)
+    in_class, once, ends = np.zeros(CLASSES), np.zeros(CLASSES), 0
     for r in counts.groupBy("s").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect():
         if r["s"] >= 0:
             in_class[r["s"] + FREQUENT], once[r["s"] + FREQUENT] = r["n"], r["once"]
+        else:
+            ends = r["n"]
     np.subtract.at(in_class, s[top].astype(np.int64) + FREQUENT, n[top])
     np.subtract.at(once, s[top].astype(np.int64) + FREQUENT, n[top] == 1)
     model = Model(spelling, h, n, frequent, None, np.log10(in_class + once + 1), total, distinct)
 
-    ids: list[np.ndarray] = []
-    for lo, hi, data, at in K.pieces(texts):
-        th, ts, own = tokens(data, at, spelling)
-        c = model.classes(th, ts).astype(np.int64)
-        ids += [c[own[d] : own[d + 1]] for d in range(hi - lo)]
-    pairs, unigram = np.zeros(CLASSES * CLASSES), np.zeros(CLASSES)
-    for d in ids:
-        unigram += np.bincount(d, minlength=CLASSES)
-    line = np.concatenate([np.array([model.end]), *ids])
-    pairs += np.bincount(line[:-1] * CLASSES + line[1:], minlength=CLASSES * CLASSES)
+    unigram = in_class.copy()
+    unigram[np.searchsorted(frequent, h[top])] = n[top]
+    unigram[model.end] = ends
+    lines = materialize(train.select("doc_id", "text").mapInArrow(_lines(spark.sparkContext.broadcast(model)), "doc_id long, line binary"))
+    pairs = np.zeros(CLASSES * CLASSES)
+    found = lines.select("line").mapInArrow(_pairs(model.end), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     model.network = Network(unigram, similar_groups(pairs.reshape(CLASSES, CLASSES)))
-    model.network.train(ids, model.end, epochs=epochs)
+    train_network(model.network, lines, model.end, total or 0, epochs)
     return model, counts.where(F.col("level") < least).select("h", "n"), np.log10(once + 1)[FREQUENT:]
 
 
-def score_documents(docs: DataFrame, head: int = 1 << 18, sample_docs: int = 3000, most_bytes: int = 1 << 15, epochs: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = 1 << 18, epochs: int = 3) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): token counts, unigram base score and model score, in log10."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    model, rare, unseen = fit(docs, head, sample_docs, most_bytes, epochs)
+    model, rare, unseen = fit(docs, head, epochs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passed = docs.select("doc_id", held_out(7, 2).alias("held_out"), "text").mapInArrow(_pass(shared), PASSED)
     passed = materialize(passed.withColumn("uid", F.monotonically_increasing_id()))

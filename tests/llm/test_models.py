@@ -178,3 +178,38 @@ def test_lm_empty(make):
     df = make(corpus(1)[:3])
     assert gated_lm.score_documents(df.limit(0)).count() == 0
     assert gated_lm.score_documents(df, epochs=1).count() == 3
+
+
+def test_lm_learns_from_long_texts(make):
+    """All training texts are longer than 32 KB; none may be left out of the network, the spellings and the class counts."""
+    rng = random.Random(11)
+    rows = [(i, syllables(rng, EN if i % 2 else FR, 9000), None, None) for i in range(16)]
+    assert min(len(t) for _, t, *_ in rows) > 1 << 15
+    got = {r["doc_id"]: r for r in gated_lm.score_documents(make(rows)).collect()}
+    out = [r for r in got.values() if r["held_out"]]
+    assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_lm_epoch_covers_all_tokens(spark, monkeypatch):
+    monkeypatch.setattr(gated_lm, "SHARD", 700)
+    rng = np.random.default_rng(3)
+    docs = [(i % 9 or None, np.append(rng.integers(0, 1000, n), 7).astype(np.int16).tobytes()) for i, n in enumerate(rng.integers(0, 400, 40))]
+    total = sum(len(line) // 2 for _, line in docs)
+    lines = spark.createDataFrame(docs, "doc_id long, line binary").repartition(3)
+    fitted = []
+    for _ in range(2):
+        network = gated_lm.Network(np.ones(1024), np.arange(1024).reshape(32, 32))
+        before = network.flat()
+        assert gated_lm.train_network(network, lines, 7, total, 2) == total
+        assert np.abs(network.flat() - before).max() > 0
+        fitted.append(network.flat())
+    assert (fitted[0] == fitted[1]).all()
+
+
+@pytest.mark.parametrize("n", [1, 95, 96, 1000])
+def test_trainer_takes_each_token_once(n):
+    network = gated_lm.Network(np.ones(1024), np.arange(1024).reshape(32, 32))
+    trainer = gated_lm.Trainer(network, 7)
+    for line in (np.arange(n), np.zeros(0), np.arange(n)):
+        trainer.feed(line.astype(np.int16), lambda seen: 0.0)
+    assert trainer.seen == 2 * n and trainer.last == n - 1
