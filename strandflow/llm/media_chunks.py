@@ -4,12 +4,14 @@ A payload is cut where a rolling gear hash over its last 32 bytes has its top
 ``bits`` bits at zero, at least ``least`` and at most ``most`` bytes apart, so an
 insertion moves only nearby cuts. Chunks are known by SHA-256.
 
-A chunk that only one medium holds stays with it. Chunks of two or more media
-are found by counting digests in Spark (a first pass that moves digests alone,
-then a bit filter of bounded size) and go once each into a chunk store, keyed by
-digest; a medium refers to them by its ordered chunk list, and is put together
-again by joining the list with the store. Every chunk is checked against its
-digest on reading, so what comes back is what was stored.
+Every medium has an ordered chunk list, and every distinct chunk one row in a
+chunk store, keyed by digest; both are written to the shared folder, and all
+reports come from lists and store as read back. Chunks that two or more media may
+hold are found by counting digests in Spark (a first pass that moves digests
+alone, then a bit filter of bounded size) and reach their media by a join. A chunk
+that only one medium holds is written beside that medium's list, as the only store
+row of its digest, and is read from there, so it does not travel. Every chunk is
+checked against its digest on reading, so what comes back is what was stored.
 
 The stored form of a medium is a header (magic, unit, number of chunks), its
 chunk list (length and digest of each), and the samples in order. Its
@@ -38,10 +40,11 @@ from strandflow.llm.tables import materialize
 
 MAGIC = b"GCH1"
 UNIT = 192
+PLACED = 1 << 22  # payload bytes that are handed on together
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-PARTS = "doc_id long, n_bytes long, parts array<struct<digest:binary,size:int,shared:boolean,data:binary>>"
+PARTS = "doc_id long, n_bytes long, complete boolean, parts array<struct<digest:binary,size:int,shared:boolean,data:binary>>"
 
 
 def payload_of(text: bytes, unit: int = UNIT) -> bytes:
@@ -150,29 +153,37 @@ def _digests(cutter: Cutter):
     return emit
 
 
-def _placed(cutter: Cutter, shared, complete: bool):
-    """Reports of media whose chunks all stay with them; or, of the others, their parts."""
+def _placed(cutter: Cutter, shared):
+    """The parts of each medium, with the data of chunks that it may share and, at their first place, of those only it holds."""
+    kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("shared", pa.bool_()), ("data", pa.binary())]))
+
+    def parts_of(pack: zstandard.ZstdCompressor, payload: bytes, ends: list[int]) -> list[dict]:
+        parts = [(hashlib.sha256(x).digest(), x) for x in split(payload, ends)]
+        common = bit_filter.test(shared.value, np.array([_key(d) for d, _ in parts]).view(np.uint64))
+        out, seen = [], set()
+        for (d, x), s in zip(parts, common.tolist(), strict=True):
+            out.append({"digest": d, "size": len(x), "shared": s, "data": None if d in seen and not s else pack.compress(x)})
+            seen.add(d)
+        return out
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            rows, index = [], []
-            for row, n_bytes, payload, ends in cutter.payloads(batch.column("text")):
-                parts = [(hashlib.sha256(x).digest(), x) for x in split(payload, ends)]
-                common = bit_filter.test(shared.value, np.array([_key(d) for d, _ in parts]).view(np.uint64))
-                if common.any() == complete:
-                    continue
-                index.append(row)
-                if complete:
-                    rows.append(report(n_bytes, parts))
-                else:
-                    rows.append((n_bytes, [{"digest": d, "size": len(x), "shared": bool(s), "data": pack.compress(x)} for (d, x), s in zip(parts, common, strict=True)]))
-            ids = batch.column("doc_id").take(pa.array(index, pa.int64()))
-            if complete:
-                yield _reports(ids, rows)
-            else:
-                kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("shared", pa.bool_()), ("data", pa.binary())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind)], ["doc_id", "n_bytes", "parts"])
+            ids, first, held = batch.column("doc_id"), 0, 0
+            n_bytes, complete, media = [], [], []
+            for row, n, payload, ends in cutter.payloads(batch.column("text")):
+                parts = parts_of(pack, payload, ends)
+                n_bytes.append(n)
+                complete.append(not any(x["shared"] for x in parts))
+                media.append(parts)
+                held += len(payload)
+                if held > PLACED or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.slice(first, len(media)), pa.array(n_bytes, pa.int64()), pa.array(complete, pa.bool_()), pa.array(media, kind)],
+                        ["doc_id", "n_bytes", "complete", "parts"],
+                    )
+                    first, held = row + 1, 0
+                    n_bytes, complete, media = [], [], []
 
     return place
 
@@ -182,16 +193,20 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for n_bytes, parts in zip(batch.column("n_bytes").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            rows.append(report(n_bytes, [(p["digest"], unpack.decompress(p["data"])) for p in sorted(parts, key=lambda p: p["seq"])]))
+            parts = sorted(parts, key=lambda p: p["seq"])
+            held = {p["digest"]: p["data"] for p in parts if p["data"] is not None}
+            rows.append(report(n_bytes, [(p["digest"], unpack.decompress(held[p["digest"]])) for p in parts]))
         yield _reports(batch.column("doc_id"), rows)
 
 
 def store_media(docs: DataFrame, cutter: Cutter | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(reports of media without shared chunks, chunk lists of the others, chunk store).
+    """(media, chunk lists, chunk store) of all rows of ``docs``, as read back from the shared folder.
 
-    Lists have a row for each chunk: medium, doc_id, n_bytes, seq, digest, and
-    the data if the chunk is the medium's own. The store has (digest, data),
-    zstandard-compressed, one row a digest.
+    Media have a row for each row of ``docs``; ``complete`` ones share no chunk.
+    Lists have a row for each chunk: medium, doc_id, n_bytes, complete, seq,
+    digest, size, shared, and the data if the chunk is the medium's own (at its
+    first place). The store has (digest, data, pooled), zstandard-compressed, one
+    row a digest; ``pooled`` rows are those of chunks that may be shared.
     """
     cutter = cutter or Cutter()
     spark = docs.sparkSession
@@ -200,23 +215,24 @@ def store_media(docs: DataFrame, cutter: Cutter | None = None) -> tuple[DataFram
     common = materialize(keys.groupBy("k").count().where("count > 1").select("k"))
     bits = bit_filter.bits_for(common.count())
     shared = spark.sparkContext.broadcast(bit_filter.build(common, F.col("k"), bits))
-    own = docs.mapInArrow(_placed(cutter, shared, True), RESULT)
-    rest = materialize(docs.mapInArrow(_placed(cutter, shared, False), PARTS).withColumn("medium", F.monotonically_increasing_id()))
-    chunks = rest.select("medium", "doc_id", "n_bytes", F.posexplode("parts").alias("seq", "part")).select("medium", "doc_id", "n_bytes", "seq", "part.digest", "part.shared", "part.data")
-    store = chunks.where("shared").groupBy("digest").agg(F.min("data").alias("data"))
-    lists = chunks.withColumn("data", F.when(~F.col("shared"), F.col("data")))
-    return own, lists, store
+    media = materialize(docs.mapInArrow(_placed(cutter, shared), PARTS).withColumn("medium", F.monotonically_increasing_id()))
+    chunks = media.select("medium", "doc_id", "n_bytes", "complete", F.posexplode("parts").alias("seq", "part")).select("medium", "doc_id", "n_bytes", "complete", "seq", "part.*")
+    pooled = materialize(chunks.where("shared").groupBy("digest").agg(F.min("data").alias("data")))
+    own = chunks.where("not shared and data is not null").select("digest", "data", F.lit(False).alias("pooled"))
+    return media, chunks.withColumn("data", F.when(~F.col("shared"), F.col("data"))), pooled.withColumn("pooled", F.lit(True)).unionByName(own)
 
 
-def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """Joins chunk lists with the store and puts each medium together again."""
-    borrowed = lists.where("shared").select("medium", "doc_id", "n_bytes", "seq", "digest").join(store, "digest")
-    every = borrowed.unionByName(lists.where("not shared").select("medium", "doc_id", "n_bytes", "seq", "digest", "data"))
-    media = every.groupBy("medium").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.collect_list(F.struct("seq", "digest", "data")).alias("parts"))
-    return media.select("doc_id", "n_bytes", "parts").mapInArrow(_assembled, RESULT)
+def rebuild(media: DataFrame, lists: DataFrame, store: DataFrame) -> DataFrame:
+    """Puts each medium together again from its chunk list and the store; only pooled chunks travel by a join."""
+    rest = lists.where("not complete")
+    borrowed = rest.where("shared").select("medium", "doc_id", "n_bytes", "seq", "digest").join(store.where("pooled").select("digest", "data"), "digest")
+    every = borrowed.unionByName(rest.where("not shared").select("medium", "doc_id", "n_bytes", "seq", "digest", "data"))
+    joined = every.groupBy("medium").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.collect_list(F.struct("seq", "digest", "data")).alias("parts"))
+    numbered = F.transform("parts", lambda p, i: F.struct(i.alias("seq"), p["digest"].alias("digest"), p["data"].alias("data")))
+    complete = media.where("complete").select("doc_id", "n_bytes", numbered.alias("parts"))
+    return complete.unionByName(joined.select("doc_id", "n_bytes", "parts")).mapInArrow(_assembled, RESULT)
 
 
 def media_reports(docs: DataFrame, cutter: Cutter | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): digests and features of its medium as read back."""
-    own, lists, store = store_media(docs, cutter)
-    return own.unionByName(rebuild(lists, store))
+    return rebuild(*store_media(docs, cutter))

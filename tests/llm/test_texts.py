@@ -46,6 +46,24 @@ def test_store_holds_each_shared_chunk_once(docs):
     assert lists.where("shared").join(store, "digest", "left_anti").count() == 0
 
 
+def test_store_alone_gives_every_payload_back(docs):
+    """Lists and store of all documents, also of those that share no chunk, joined by digest only."""
+    import zstandard
+
+    _, lists, store = media_chunks.store_media(docs, media_chunks.Cutter(bits=6, least=32, most=512))
+    assert store.count() == store.select("digest").distinct().count() == lists.select("digest").distinct().count()
+    found = {}
+    for r in lists.select("doc_id", "seq", "digest", "size").join(store.select("digest", "data"), "digest").collect():
+        chunk = zstandard.ZstdDecompressor().decompress(r["data"])
+        assert len(chunk) == r["size"] and hashlib.sha256(chunk).digest() == r["digest"]
+        found.setdefault(r["doc_id"], {})[r["seq"]] = chunk
+    rows = corpus()
+    assert len(found) == len(rows)
+    for i, text, *_ in rows:
+        parts = found[i]
+        assert b"".join(parts[k] for k in range(len(parts))) == media_chunks.payload_of((text or "").encode())
+
+
 def test_chunks_follow_content():
     import numpy as np
 
