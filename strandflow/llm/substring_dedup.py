@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an indexed corpus.
+"""Substring dedup by an exact join of word windows with an indexed corpus.
 
 A document may only copy from documents with a smaller doc_id, and only factors
 of ``size`` words or more count. The reference index holds, for each sequence of
-``size`` words, the smallest doc_id in which it starts; it lies in as many
-hash-partitioned blocks as Spark makes partitions, and a join asks every block
-that can hold a phrase of the document. Parsing goes greedily from left to
-right: a factor grows while the next window is found too; where it ends, the
-windows across its boundary are looked at one by one, so factors that meet or
-overlap are all found.
+``size`` words, the smallest doc_id in which it starts; a join by window hash asks it for
+every window of the document that can repeat. This replaces a relative Lempel-Ziv
+parse: no reference text is fetched and no match is extended, but the union of the
+windows found covers every copied factor of ``size`` words or more. Hits that meet
+or overlap make one span, even if they come from different documents.
 
 A document whose words are, all in order, those of a document with a smaller
 doc_id goes as a whole, by a key of its word sequence. Of the rest, only windows
