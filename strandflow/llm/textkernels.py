@@ -7,19 +7,16 @@ piece and not the table. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel looks at together; one longer document is a piece of its own.
 PIECE = 1 << 20
-#: Bytes that are hashed together (a longer word counts as one step).
-STEP = 1 << 17
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def byte_table(kept) -> np.ndarray:
@@ -34,29 +31,10 @@ ALNUM = byte_table(lambda b: b > 0x7F or chr(b).isalnum())
 SAME = np.arange(256, dtype=np.uint8)
 LOWER = np.where((SAME >= 65) & (SAME <= 90), SAME + 32, SAME).astype(np.uint8)
 
-_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64; grown when needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def to(self, n: int) -> _Powers:
-        if len(self.up) < n:
-            n = 1 << max(int(n) - 1, 1).bit_length()
-            self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
-        return self
-
-
-POWERS = _Powers()
+#: The bytes of a lane that belong to a word with so many bytes left.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,6 +46,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in order; for a given ``a``, different ``b`` give different results. Not linear in either."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows, nulls as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,22 +98,39 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
+    @cached_property
+    def bytes(self) -> np.ndarray:
+        """The data after the case table."""
+        return self.data if self.case is SAME else self.case[self.data]
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word (after the case table), equal for equal words in any piece."""
-        out = np.empty(len(self.starts), np.uint64)
-        codes = np.where(self.table, _CODES[self.case], np.uint64(0))
-        i, n = 0, len(self.starts)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + STEP, "right")))
-            lo, hi = self.starts[i], self.ends[j - 1]
-            powers = POWERS.to(hi - lo)
-            values = codes[self.data[lo:hi]]
-            values *= powers.up[: hi - lo]
-            begin = self.starts[i:j] - lo
-            out[i:j] = np.add.reduceat(values, begin) * powers.down[begin]
-            i = j
+        """A 64-bit hash of each word (after the case table), equal for equal words in any piece: eight bytes at a time, folded."""
+        return self._hashes
+
+    @cached_property
+    def _hashes(self) -> np.ndarray:
+        size = self.ends - self.starts
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        padded = np.concatenate([self.bytes, np.zeros(8, np.uint8)])
+        lanes = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        out = fold(size.astype(np.uint64), lanes[self.starts] & _KEEP[np.minimum(size, 8)])
+        rest, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(rest):
+            left = size[rest] - done
+            out[rest] = fold(out[rest], lanes[self.starts[rest] + done] & _KEEP[np.minimum(left, 8)])
+            rest, done = rest[left > 8], done + 8
+        for i in np.flatnonzero(size > LONG).tolist():
+            digest = hashlib.blake2b(padded[self.starts[i] : self.ends[i]], digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
         return mix(out)
 
+    def text(self, first: int, last: int) -> list[bytes]:
+        """The words from ``first`` to before ``last``, after the case table."""
+        raw = self.bytes[self.starts[first] : self.ends[last - 1]].tobytes() if last > first else b""
+        shift = int(self.starts[first]) if last > first else 0
+        return [raw[a - shift : b - shift] for a, b in zip(self.starts[first:last].tolist(), self.ends[first:last].tolist(), strict=True)]
+
     def prefixes(self, length: int) -> np.ndarray:
         """The first ``length`` bytes (at most 7) of each word as an integer."""
         out = np.zeros(len(self.starts), np.uint64)
@@ -165,13 +168,17 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = NON_BLANK, case:
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive word hashes; runs that cross documents are not told apart."""
+    """Hash of each run of ``size`` consecutive word hashes, by folding runs of doubled length; runs that cross documents are not told apart."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    powers = POWERS.to(len(hashes))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers.up[: len(hashes)], dtype=np.uint64)])
-    return mix((total[size:] - total[:-size]) * powers.down[:n] + np.uint64(size * 0x632BE59BD9B4E019 + seed & (1 << 64) - 1))
+    out, done, run, long = np.full(n, size + seed * 0x10001, np.uint64), 0, hashes, 1
+    while True:
+        if size & long:
+            out, done = fold(out, run[done : done + n]), done + long
+        if done == size:
+            return mix(out)
+        run, long = fold(run[:-long], run[long:]), 2 * long
 
 
 def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
