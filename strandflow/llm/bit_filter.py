@@ -2,7 +2,9 @@
 
 It only saves work: a set bit is confirmed by an exact join afterwards, so false
 positives cost time and never change a result. Its size follows the number of
-keys (``per_key`` bits each) up to ``most`` bits, whatever the input.
+keys (``PER_KEY`` bits each). Keys that would need more than 2**``MOST`` bits get no
+filter: ``build`` returns None, which lets every key through to the join, as for
+any table too large to broadcast.
 """
 
 from __future__ import annotations
@@ -12,11 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm.tables import fresh
+
+PER_KEY = 16
+#: Powers of two: the least and the most bits of a filter.
+LEAST, MOST = 15, 28
 _BUCKET = 32768  # bits in a bitmap of bitmap_construct_agg
 
 
-def bits_for(keys: int, per_key: int = 16, least: int = 15, most: int = 28) -> int:
-    return min(most, max(least, (max(keys, 1) * per_key - 1).bit_length()))
+def bits_for(keys: int) -> int:
+    return max(LEAST, (max(keys, 1) * PER_KEY - 1).bit_length())
 
 
 def slot(key: Column, bits: int) -> Column:
@@ -24,8 +31,11 @@ def slot(key: Column, bits: int) -> Column:
     return key.bitwiseAND((1 << bits) - 1)
 
 
-def build(keys: DataFrame, key: Column, bits: int) -> np.ndarray:
-    """2**bits bits as bytes; at most 2**bits / 8 bytes come to the driver."""
+def build(keys: DataFrame, key: Column, bits: int | None = None) -> np.ndarray | None:
+    """2**bits bits as bytes, at most 2**MOST / 8 bytes at the driver; None if the keys need more. ``key``: a 64-bit hash."""
+    bits = bits_for(keys.count()) if bits is None else bits
+    if bits > MOST:
+        return None
     v = keys.select((slot(key, bits) + 1).alias("v")).select(F.bitmap_bucket_number("v").alias("b"), F.bitmap_bit_position("v").alias("p"))
     out = np.zeros(max(1, (1 << bits) // _BUCKET) * _BUCKET // 8, np.uint8)
     for row in v.repartition("b").groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
@@ -35,16 +45,18 @@ def build(keys: DataFrame, key: Column, bits: int) -> np.ndarray:
     return out
 
 
-def test(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def test(table: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     """Is the bit of each 64-bit key set?"""
+    if table is None:
+        return np.ones(len(keys), bool)
     at = keys & np.uint64(len(table) * 8 - 1)
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _choose(shared, wanted: bool):
+def _choose(shared, name: str, wanted: bool):
     def choose(batches):
         for batch in batches:
-            key = batch.column("_key")
+            key = batch.column(name)
             hit = test(shared.value, key.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
             hit &= key.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(hit == wanted))
@@ -53,17 +65,17 @@ def _choose(shared, wanted: bool):
 
 
 def divide(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key (a long) is not in the one column of ``keys`` for sure, and the rest; both gain a column _key."""
-    name = keys.columns[0]
-    table = build(keys, F.xxhash64(name), bits_for(keys.count()))
+    """Rows whose key is null or for sure not in the one column of ``keys`` (of the key's type), and the rest; columns unchanged."""
+    table = build(keys, F.xxhash64(keys.columns[0]))
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    rows = rows.withColumn("_key", F.when(key.isNotNull(), F.xxhash64(key)))
-    return tuple(rows.mapInArrow(_choose(shared, wanted), rows.schema) for wanted in (False, True))
+    (name,) = fresh(rows, "_key")
+    hashed = rows.withColumn(name, F.when(key.isNotNull(), F.xxhash64(key)))
+    return tuple(hashed.mapInArrow(_choose(shared, name, wanted), hashed.schema).drop(name) for wanted in (False, True))
 
 
 def without(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """Anti-join that shuffles only the rows that the filter can't clear. ``keys``: one column of longs."""
-    name = keys.columns[0]
+    """Anti-join that shuffles only the rows that the filter can't clear. ``keys``: one column, of the type of ``key``."""
     clear, rest = divide(rows, key, keys)
-    rest = rest.join(keys.select(F.col(name).alias("_gone")), key == F.col("_gone"), "left_anti")
-    return clear.unionByName(rest).drop("_key")
+    (name,) = fresh(rows, "_gone")
+    rest = rest.join(keys.toDF(name), key == F.col(name), "left_anti")
+    return clear.unionByName(rest)
