@@ -7,9 +7,12 @@ Documents with equal sets are one row of the matrix. Two rows link when
 1. Blocks of columns. The hash range of the n-grams is cut into m column blocks,
    m above the largest symmetric difference that linked rows of a size class can
    have, so linked rows agree entirely in some block, and in at least
-   (non-empty blocks - largest difference) of them. Rows are grouped by their
-   content in a block, in hash buckets of the column blocks; rows that meet
-   others in fewer blocks than their sizes ask for are discarded.
+   (non-empty blocks - largest difference) of them. Contents of blocks are dealt
+   to hash buckets, as many as their number asks for; a bucket's task finds the
+   contents that two or more rows share, and a second pass sends only those to
+   the join that counts, for each row and the least row of a shared content (its
+   pivot), the blocks in common. Rows that meet others in fewer blocks than
+   their sizes ask for are discarded.
 2. Product against pivots. Rows that meet share a pivot, the least row there. A
    row leaves out the pivots it meets least, in all in less than half of the
    blocks its sizes ask for: of two linked rows' common blocks one remains.
@@ -42,24 +45,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from strandflow.llm import bit_filter
 from strandflow.llm import textkernels as K
 from strandflow.llm.components import components
-from strandflow.llm.tables import materialize
+from strandflow.llm.tables import fresh, materialize, spread_join
 
 #: Column blocks for each block that may differ.
 SPARE = 1.5
 #: Rows of a pivot that step 3 takes together; larger groups are taken by pairs of parts.
 PART_ROWS = 4096
-#: Hash buckets of column blocks, at least; at scale as many as shuffle partitions.
+#: Keys of a hash bucket of column blocks, and the fewest buckets. A task takes one bucket, at about 50 bytes a key.
+BUCKET_KEYS = 4_000_000
 BUCKETS = 64
 
 
-#: Larger needs are asked for in part.
-MOST_NEED = 32767
-
-
 @dataclass(frozen=True)
 class Rule:
     """Shingle length and least similarity num / den."""
@@ -125,6 +127,8 @@ def block_keys(own: np.ndarray, rule: Rule, tops: list[int]) -> Iterator[tuple[i
 
 
 def _summary(rule: Rule):
+    """Size and identity of each row's set, and how many column-block keys it has."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -135,101 +139,143 @@ def _summary(rule: Rule):
     return emit
 
 
-def pack(node: np.ndarray, meta: np.ndarray, many: np.ndarray, keys: np.ndarray) -> bytes:
-    """Part of a bucket: rows (node, meta = need and slot, number of keys) and the low 48 bits of their keys."""
-    return b"".join([np.uint32(len(node)).tobytes(), node.astype(np.int64).tobytes(), meta.astype(np.uint16).tobytes(), many.astype(np.uint32).tobytes(), keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
+def _incidence(batches: Iterator[pa.RecordBatch], rule: Rule, most_keys: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of rows of the incidence matrix: (key, row in ``node`` and ``meta`` of each entry; node; meta = need and slot). Equal sets of a block come once."""
+    tops = rule.tops(1 << 10)
+    keys: list[np.ndarray] = []
+    nodes: list[int] = []
+    metas: list[int] = []
+    seen: set[int] = set()
+    total = 0
 
+    def block() -> tuple[np.ndarray, ...]:
+        return np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.array(nodes, np.int64), np.array(metas, np.int64)
 
-def unpack(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    for batch in batches:
+        for _, own in shingle_sets(batch.column("text"), rule.words):
+            if not len(own) or (node := node_of(own)) in seen:
+                continue
+            seen.add(node)
+            while tops[-2] < len(own):
+                tops = rule.tops(2 * tops[-1])
+            for slot, need, found in block_keys(own, rule, tops):
+                keys.append(found)
+                nodes.append(node)
+                metas.append(need * 2 + slot)
+                total += len(found)
+            if total >= most_keys:
+                yield block()
+                keys, nodes, metas, total = [], [], [], 0
+                seen.clear()
+    if keys:
+        yield block()
+
+
+def pack(node: np.ndarray, many: np.ndarray, keys: np.ndarray) -> bytes:
+    """Part of a bucket: rows (node, number of keys) and the low 48 bits of their keys."""
+    return b"".join([np.uint32(len(node)).tobytes(), node.astype(np.int64).tobytes(), many.astype(np.uint32).tobytes(), keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()])
+
+
+def unpack(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(part, np.uint32, 1)[0])
     node = np.frombuffer(part, np.int64, n, 4)
-    meta = np.frombuffer(part, np.uint16, n, 4 + 8 * n)
-    many = np.frombuffer(part, np.uint32, n, 4 + 10 * n)
-    low = np.frombuffer(part, np.uint8, offset=4 + 14 * n).reshape(-1, 6)
+    many = np.frombuffer(part, np.uint32, n, 4 + 8 * n)
+    low = np.frombuffer(part, np.uint8, offset=4 + 12 * n).reshape(-1, 6)
     keys = np.zeros((len(low), 8), np.uint8)
     keys[:, :6] = low
-    return node, meta, many, keys.view(np.uint64).ravel()
+    return node, many, keys.view(np.uint64).ravel()
+
+
+def _ends(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their least and greatest node."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(start):
+        return keys, least, most
+    return keys[start], np.minimum.reduceat(least[order], start), np.maximum.reduceat(most[order], start)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of keys, ascending with them."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
 
+def narrow(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The key as buckets know it: 48 bits below the bucket's lowest 16. Keys that become equal by it share their pivots, which costs a comparison."""
+    return (low & np.uint64((1 << 48) - 1)) | (bucket << np.uint64(48))
 
-def _incidence(rule: Rule, buckets: int, most_keys: int = 2_000_000):
-    """Column-block keys of each distinct set of a batch, dealt into buckets."""
+
+def _dealt(rule: Rule, buckets: int):
+    """The entries of each block in buckets of keys; of a key that many rows of a block hold, only the two that matter."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = rule.tops(1 << 10)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not keys:
-                return
-            every = np.concatenate(keys)
-            entry = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            bucket = (every >> np.uint64(48)) % np.uint64(buckets)
-            order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-            node_of_entry, meta_of_entry = np.array(nodes, np.int64), np.array(metas, np.int64)
+        for keys, row, node, _ in _incidence(batches, rule):
+            order = np.argsort(keys, kind="stable")
+            keys, row = keys[order], row[order]
+            own = node[row]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            least, most = np.minimum.reduceat(own, start)[group], np.maximum.reduceat(own, start)[group]
+            kept = new.copy()
+            many = np.diff([*start, len(keys)])[group] > 1
+            kept[many] = (own[many] == least[many]) | (own[many] == most[many])
+            keys, row = keys[kept], row[kept]
+            edge = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1).astype(np.uint64))
             some = np.flatnonzero(np.diff(edge))
             parts = []
             for b in some:
-                here = order[edge[b] : edge[b + 1]]
-                own, many = np.unique(entry[here], return_counts=True)
-                parts.append(pack(node_of_entry[own], meta_of_entry[own], many, every[here]))
+                here = slice(edge[b], edge[b + 1])
+                by_row = np.argsort(row[here], kind="stable")
+                which, count = np.unique(row[here][by_row], return_counts=True)
+                parts.append(pack(node[which], count, keys[here][by_row]))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], ["bucket", "part"])
-            keys.clear(), nodes.clear(), metas.clear(), seen.clear()
 
-        keys: list[np.ndarray] = []
-        nodes: list[int] = []
-        metas: list[int] = []
-        seen: set[int] = set()
-        total = 0
+    return emit
+
+
+def _shared_keys(most_keys: int):
+    """(key, pivot) of the keys that two or more nodes hold; pivot: the least of them.
+
+    A task holds the distinct keys of its bucket, and entries only until there are
+    ``most_keys`` of them: a key that very many rows hold takes one place.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        held = 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            return _ends(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
         for batch in batches:
-            for _, own in shingle_sets(batch.column("text"), rule.words):
-                if not len(own) or (node := node_of(own)) in seen:
-                    continue
-                seen.add(node)
-                while tops[-2] < len(own):
-                    tops = rule.tops(2 * tops[-1])
-                for slot, need, found in block_keys(own, rule, tops):
-                    keys.append(found)
-                    nodes.append(node)
-                    metas.append(min(need, MOST_NEED) * 2 + slot)
-                    total += len(found)
-                if total >= most_keys:
-                    yield from flush()
-                    total = 0
-        yield from flush()
+            for b, part in zip(batch.column("bucket").to_pylist(), batch.column("part"), strict=True):
+                node, many, low = unpack(part.as_buffer())
+                own = np.repeat(node, many)
+                waiting.append((narrow(np.uint64(b), low), own, own))
+                held += len(low)
+                if held >= most_keys:
+                    waiting, held = [merged()], 0
+        keys, least, most = merged()
+        two = least != most
+        yield pa.RecordBatch.from_arrays([pa.array(keys[two].view(np.int64)), pa.array(least[two])], ["key", "pivot"])
 
     return emit
 
 
-def meetings(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(node, meta, pivot, number of keys) of rows of one bucket that meet other rows in a key."""
-    found = [unpack(p) for p in parts]
-    node = np.concatenate([f[0] for f in found])
-    meta = np.concatenate([f[1] for f in found])
-    entry = np.repeat(np.arange(len(node)), np.concatenate([f[2] for f in found]))
-    keys = np.concatenate([f[3] for f in found])
-    del found
-    order = np.argsort(keys, kind="stable")
-    keys, entry = keys[order], entry[order]
-    own = node[entry]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if not len(start):
-        return node[:0], meta[:0], node[:0], entry[:0]
-    least, most = np.minimum.reduceat(own, start), np.maximum.reduceat(own, start)
-    size = np.diff([*start, len(keys)])
-    meet = np.repeat(least != most, size)
-    table = pa.table({"node": own[meet], "meta": meta[entry[meet]].astype(np.int64), "pivot": np.repeat(least, size)[meet]})
-    table = table.group_by(["node", "meta", "pivot"]).aggregate([([], "count_all")])
-    return tuple(table.column(i).to_numpy() for i in range(4))
+def _met(rule: Rule, buckets: int, shared):
+    """(key, node, meta) of the entries whose key may be shared."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, node, meta in _incidence(batches, rule):
+            keys = narrow(bucket_of(keys, buckets), keys)
+            hit = np.flatnonzero(bit_filter.test(shared.value, keys))
+            for lo in range(0, len(hit), 1 << 16):
+                here = hit[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[here].view(np.int64)), pa.array(node[row[here]]), pa.array(meta[row[here]])], ["key", "node", "meta"])
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, part in zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True):
-            parts.setdefault(bucket, []).append(part)
-    while parts:
-        found = meetings(parts.popitem()[1])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["node", "meta", "pivot", "n"])
+    return emit
 
 
 def _worth(pivots: Column, need: Column) -> Column:
@@ -245,11 +291,20 @@ def _worth(pivots: Column, need: Column) -> Column:
     return F.aggregate(ascending, state, step)["kept"]
 
 
-def candidates(docs: DataFrame, rule: Rule) -> DataFrame:
+def buckets_for(rule: Rule, sets: int, elements: int) -> int:
+    """Buckets by the number of keys that so many sets with so many elements in all have."""
+    keys = 2 * (2 * sets + SPARE * rule.differing(2 * elements) * rule.den / rule.num)
+    return max(BUCKETS, -int(-keys // BUCKET_KEYS))
+
+
+def candidates(docs: DataFrame, rule: Rule, sets: int, elements: int) -> DataFrame:
     """(node, pivot) of rows that meet enough others, each pivot with itself too."""
-    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = docs.mapInArrow(_incidence(rule, buckets), "bucket int, part binary").repartitionById(buckets, F.col("bucket"))
-    met = parts.mapInArrow(_meetings, "node long, meta long, pivot long, n long").groupBy("node", "meta", "pivot").agg(F.sum("n").alias("n"))
+    buckets = buckets_for(rule, sets, elements)
+    parts = docs.mapInArrow(_dealt(rule, buckets), "bucket int, part binary").repartitionById(buckets, F.col("bucket"))
+    keys = materialize(parts.mapInArrow(_shared_keys(BUCKET_KEYS), "key long, pivot long"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter.build(keys, F.col("key")))
+    met = docs.mapInArrow(_met(rule, buckets, shared), "key long, node long, meta long").join(keys, "key")
+    met = met.groupBy("node", "meta", "pivot").agg(F.count("*").alias("n"))
     met = met.groupBy("node", "meta").agg(F.sum("n").alias("total"), F.collect_list(F.struct("n", "pivot")).alias("pivots")).withColumn("need", F.expr("meta div 2"))
     pairs = met.where("total >= need").select("node", F.explode(_worth(F.col("pivots"), F.col("need"))).alias("pivot"))
     return pairs.unionByName(pairs.select(F.col("pivot").alias("node"), "pivot")).distinct()
@@ -337,18 +392,18 @@ def _forest(rule: Rule):
     return product
 
 
-def links(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(u, v): links between sets (by node) that have the same connected components as all links."""
+def links(docs: DataFrame, rule: Rule, sets: int, elements: int) -> DataFrame:
+    """(u, v): links between sets (by node) that have the same connected components as all links. ``docs`` have so many sets with so many elements in all."""
     spark = docs.sparkSession
     docs = docs.select("text").where(F.col("text").isNotNull())
-    pairs = materialize(candidates(docs, rule))
-    bits = bit_filter.bits_for(pairs.count())
-    shared = spark.sparkContext.broadcast(bit_filter.build(pairs, F.col("node"), bits))
+    pairs = materialize(candidates(docs, rule, sets, elements))
+    shared = spark.sparkContext.broadcast(bit_filter.build(pairs, F.col("node")))
     sets = docs.mapInArrow(_sets(rule, shared), "node long, n long, own binary")
     wanted = sets.join(pairs.select("node").distinct(), "node", "left_semi")
     sets = materialize(wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own")))
     pivots = sets.select(F.col("node").alias("pivot"), F.col("own").alias("other"))
-    members = materialize(pairs.join(sets, "node").join(pivots, "pivot").mapInArrow(_judge(rule), "pivot long, node long, f long"))
+    sizes = materialize(pairs.groupBy("pivot").agg(F.count("*").alias("n")))
+    members = materialize(spread_join(pairs.join(sets, "node"), pivots, "pivot", "node", sizes, PART_ROWS).mapInArrow(_judge(rule), "pivot long, node long, f long"))
 
     best = members.groupBy("pivot").agg(F.max(F.struct("f", "node")).alias("best"), F.count("*").alias("members"))
     judged = members.join(best, "pivot").withColumn("open", F.col("f") + F.col("best.f") < 0)
@@ -357,27 +412,58 @@ def links(docs: DataFrame, rule: Rule) -> DataFrame:
     left = materialize(judged.where("members > 2 and node <> pivot").select("pivot", "node", "f", "open").join(groups, "pivot"))
 
     kinds = "pivot long, node long, f long, open boolean, parts long, delta binary"
-    rows = left.join(sets.select("node", "own"), "node").join(pivots, "pivot").mapInArrow(_differences, kinds)
+    rows = spread_join(left.join(sets.select("node", "own"), "node"), pivots, "pivot", "node", sizes, PART_ROWS).mapInArrow(_differences, kinds)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     blocks = rows.select("pivot", "node", "f", "open", "part", "delta", F.least("part", "j").alias("a"), F.greatest("part", "j").alias("b"))
     return star.unionByName(blocks.groupBy("pivot", "a", "b").applyInArrow(_forest(rule), "u long, v long"))
 
 
-def classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_shingles, and component_id, the least doc_id that links reach."""
-    rule = rule or Rule()
+def _classified(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, n, node, label, component): size and identity of each row's set, its class, and the least doc_id there."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     summary = materialize(docs.mapInArrow(_summary(rule), "doc_id long, n long, node long"))
-    own = summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = own.join(components(links(docs, rule)), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = materialize(summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    sets, elements = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    labelled = own.drop("n").join(components(links(docs, rule, sets, elements)), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    known = labelled.join(least, "label").select("node", "component")
-    out = summary.join(known, "node", "left")
+    return summary.join(labelled.join(least, "label").select("node", "label", "component"), "node", "left")
+
+
+def classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): n_shingles, and component_id, the least doc_id that links reach."""
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _classified(docs, rule or Rule()).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _noded(rule: Rule, name: str):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = np.zeros(batch.num_rows, np.int64)
+            for row, own in shingle_sets(batch.column("text"), rule.words):
+                node[row] = node_of(own) if len(own) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, mask=node == 0)], [*batch.schema.names, name])
+
+    return emit
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, all columns unchanged; rows without doc_id stay."""
-    gone = materialize(classes(docs, rule).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct())
-    return bit_filter.without(docs, F.col("doc_id").cast("long"), gone)
+    """One row of each class, that of least doc_id, all columns unchanged.
+
+    Classes are of rows, not of ids: an id may have rows in several. Of rows of a
+    class with the same least id, the one with the least set identity, and then
+    the least text, stays. Rows without doc_id or without words all stay.
+    """
+    rule = rule or Rule()
+    known = materialize(_classified(docs, rule).where("n > 0 and doc_id is not null").groupBy("doc_id", "node").agg(F.first("label").alias("label"), F.count("*").alias("rows")))
+    chosen = known.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("one")).select("one.*")
+    gone = materialize(known.join(chosen, ["doc_id", "node"], "left_anti").select("doc_id", "node"))
+    ids = gone.select("doc_id").unionByName(known.where("rows > 1").select("doc_id")).distinct()
+    key = F.col("doc_id").cast("long")
+    clear, rest = bit_filter.divide(docs, key, ids)
+    node, at, gone_id, gone_node = fresh(docs, "_node", "_at", "_gone_id", "_gone_node")
+    schema = T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())])
+    rest = rest.mapInArrow(_noded(rule, node), schema).join(gone.toDF(gone_id, gone_node), (key == F.col(gone_id)) & (F.col(node) == F.col(gone_node)), "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id", node).orderBy("text"))
+    loose = rest.where(F.col("doc_id").isNull() | F.col(node).isNull())
+    tied = rest.where(F.col("doc_id").isNotNull() & F.col(node).isNotNull()).withColumn(at, first).where(F.col(at) == 1).drop(at)
+    return clear.unionByName(loose.unionByName(tied).drop(node))
