@@ -14,7 +14,7 @@ from strandflow.llm.media_chunks import media_reports
 from strandflow.llm.mixing import mix_sources
 from strandflow.llm.quality import score_quality
 from strandflow.llm.secret_scan import scan_secrets
-from strandflow.llm.substring_dedup import remove_repeats
+from strandflow.llm.substring_dedup import reports
 from strandflow.llm.tables import table
 from strandflow.llm.toxicity import score_toxicity
 
@@ -48,7 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return reports(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

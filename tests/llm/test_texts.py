@@ -163,7 +163,7 @@ def brute_repeats(rows, size):
 
 @pytest.mark.parametrize("size", [5, 50])
 def test_substring_dedup(docs, size):
-    got = by_id(substring_dedup.remove_repeats(docs, size))
+    got = by_id(substring_dedup.reports(docs, size))
     want = brute_repeats(corpus(), size)
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == want
     assert any(r["n_removed"] for r in got.values())
@@ -172,9 +172,9 @@ def test_substring_dedup(docs, size):
 def test_substring_dedup_odd_ids(make):
     text = " ".join(words(__import__("random").Random(5), 80))
     df = make([(None, text, None, None), (3, text, None, None), (3, text, None, None), (4, text + " more", None, None)])
-    got = sorted(((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect()), key=str)
+    got = sorted(((r["doc_id"], r["n_removed"]) for r in substring_dedup.reports(df).collect()), key=str)
     assert got == [(3, 0), (3, 0), (4, 80), (None, 0)]
-    assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+    assert substring_dedup.reports(df.limit(0)).count() == 0
     assert media_chunks.media_reports(df.limit(0)).count() == 0
     assert media_chunks.media_reports(df).count() == 4
 
