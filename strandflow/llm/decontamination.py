@@ -1,19 +1,22 @@
-"""Benchmark decontamination by a prefix-filtered containment join.
-
-Each item window (``size`` consecutive words, or the whole of a shorter item) is
-a set of shingles that must be contained whole, so by the prefix filter one
-shingle of it is enough to look for: its rarest, by counts over the whole
-corpus. A document word that equals it proposes one start (position bound), the
-window must lie inside the document (length bound), and then all its words are
-compared at their places.
-
-The query side is a stated set: it is read in blocks of at most
-``windows_per_block`` windows, each broadcast in turn, so what is broadcast
-never grows with the corpus or beyond the block. One block is one pass; more
-blocks are chained passes over the same rows, without a shuffle.
-
-Null and empty texts have no words. Items without id, text or words are left
-out; repeated items count once. Words are compared by 64-bit hashes.
+"""Benchmark decontamination by a prefix-filtered set join.
+
+An item window (``size`` consecutive words, or the whole of a shorter item) is the
+set of its shingles of ``span`` words. Shingles are ordered by rarity, by their
+counts over the whole corpus. A window must be contained whole, so the necessary
+prefix of its set is one shingle: the rarest. Spark joins the prefix tokens of all
+windows with the places in the corpus where such shingles stand; the shingle's
+place in the window says where the window would begin (position bound), it must
+lie inside the document (length bound), and then the words themselves are
+compared, over a stretch the size of the window.
+
+A bit filter of bounded size, made from the shingles of all windows and then from
+their prefixes, is all that is broadcast; what it lets through by mistake finds no
+partner in the join. Popular prefixes meet an index with one row a window, which
+Spark broadcasts if it is small and else may split by skew.
+
+Null and empty texts have no words. Items without id, text or words are left out;
+repeated items count once. Each row of the documents is judged by its own text,
+whatever its id; repeated rows give repeated results, an empty table none.
 """
 
 from __future__ import annotations
@@ -26,171 +29,148 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm import bit_filter
 from strandflow.llm import textkernels as K
+from strandflow.llm.tables import materialize
 
-#: Columns that passes add: spans of hit words, and the items found.
-HITS, ITEMS = "_window_hits", "_window_items"
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+#: Words of a shingle.
+SPAN = 3
+PLACES = "doc_id long, n_words long, digest string, places array<struct<token:long,at:long,before:int,context:string>>"
 
 
 def _words(data: np.ndarray, at: np.ndarray) -> K.Words:
     return K.words(data, at, K.ALNUM, K.LOWER)
 
 
-def item_windows(items: list[tuple[str, str]], size: int) -> dict[tuple, set[str]]:
-    """Windows as tuples of word hashes, each with the ids of its items."""
-    out: dict[tuple, set[str]] = {}
-    texts = pa.array([t for _, t in items], pa.string())
-    for lo, hi, data, at in K.pieces(texts):
-        words = _words(data, at)
-        hashes = words.hashes().tolist()
-        for d in range(hi - lo):
-            own = hashes[words.first[d] : words.first[d + 1]]
-            for i in range(max(1, len(own) - size + 1) if own else 0):
-                out.setdefault(tuple(own[i : i + size]), set()).add(items[lo + d][0])
-    return out
-
-
-class Index:
-    """Windows of one block by the word to look for."""
-
-    def __init__(self, found: dict[tuple, set[str]], size: int, counts: dict[int, int]):
-        rows = []
-        for window, ids in found.items():
-            place = min(range(len(window)), key=lambda j: (counts.get(window[j], 0), window[j], j))
-            rows.append((window[place], place, window, sorted(ids)))
-        rows.sort(key=lambda r: r[:3])
-        self.size = size
-        self.token = np.array([r[0] for r in rows], np.uint64)
-        self.place = np.array([r[1] for r in rows], np.int64)
-        self.length = np.array([len(r[2]) for r in rows], np.int64)
-        self.words = np.array([[*r[2], *[0] * (size - len(r[2]))] for r in rows], np.uint64).reshape(len(rows), size)
-        self.ids = [r[3] for r in rows]
-        self.tokens, self.first = np.unique(self.token, return_index=True)
-        self.many = np.diff([*self.first, len(rows)])
-
-    def find(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, window) of each occurrence in the words of a piece."""
-        which = K.in_sorted(hashes, self.tokens)
-        at = np.flatnonzero(which >= 0)
-        which = which[at]
-        many = self.many[which]
-        window = np.repeat(self.first[which] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        at = np.repeat(at, many)
-        doc = np.searchsorted(first, at, "right") - 1
-        start = at - self.place[window]
-        fits = (start >= first[doc]) & (start + self.length[window] <= first[doc + 1])
-        doc, start, window = doc[fits], start[fits], window[fits]
-        for j in range(self.size):
-            same = (j >= self.length[window]) | (hashes[np.minimum(start + j, len(hashes) - 1)] == self.words[window, j])
-            doc, start, window = doc[same], start[same], window[same]
-        return doc, start, window
-
-
-def _searcher(shared):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            hits, items = batch.column(HITS).to_pylist(), batch.column(ITEMS).to_pylist()
-            for lo, _, data, at in K.pieces(batch.column("text")):
-                words = _words(data, at)
-                doc, start, window = index.find(words.hashes(), words.first)
-                for d in np.unique(doc).tolist():
-                    mine = doc == d
-                    begin = start[mine] - words.first[d]
-                    spans = np.stack([begin, begin + index.length[window[mine]]], 1).astype(np.int64)
-                    hits[lo + d] = (hits[lo + d] or b"") + spans.tobytes()
-                    items[lo + d] = sorted({*(items[lo + d] or ()), *(x for w in set(window[mine].tolist()) for x in index.ids[w])})
-            columns = [pa.array(hits, pa.binary()) if n == HITS else pa.array(items, pa.list_(pa.string())) if n == ITEMS else batch.column(i) for i, n in enumerate(batch.schema.names)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return search
-
-
-def _hit_words(spans: bytes, n_words: int) -> int:
-    change = np.zeros(n_words + 1, np.int64)
-    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
-    np.add.at(change, pairs[:, 0], 1)
-    np.add.at(change, pairs[:, 1], -1)
-    return int(np.count_nonzero(np.cumsum(change) > 0))
+def _item_windows(size: int, span: int):
+    """(item_id, win, n, shingles) of each window; ``win``: its n words, parted by blanks."""
 
-
-def _report(least: int):
-    empty = hashlib.sha256(b"").hexdigest()
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            n_words = np.zeros(n, np.int64)
             for lo, hi, data, at in K.pieces(batch.column("text")):
-                n_words[lo:hi] = _words(data, at).counts()
-            n_hit, digest = np.zeros(n, np.int64), [empty] * n
-            items = [x or [] for x in batch.column(ITEMS).to_pylist()]
-            for d, spans in enumerate(batch.column(HITS).to_pylist()):
-                if spans:
-                    n_hit[d] = _hit_words(spans, int(n_words[d]))
-                    digest[d] = hashlib.sha256(",".join(items[d]).encode()).hexdigest()
-            many = np.array([len(x) for x in items], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(many), pa.array(digest), pa.array(many >= least), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-            )
-
-    return report
-
-
-def _counter(shared):
+                words = _words(data, at)
+                hashes = words.hashes()
+                for d in range(hi - lo):
+                    a, b = int(words.first[d]), int(words.first[d + 1])
+                    n = min(size, b - a)
+                    if not n:
+                        continue
+                    own = words.text(a, b)
+                    shingles = K.windows(hashes[a:b], min(span, n)).view(np.int64)
+                    some = n - min(span, n) + 1
+                    for i in range(0, b - a - n + 1, 1 << 14):
+                        places = range(i, min(i + (1 << 14), b - a - n + 1))
+                        wins = [b" ".join(own[p : p + n]).decode() for p in places]
+                        lists = np.lib.stride_tricks.sliding_window_view(shingles, some)[places.start : places.stop]
+                        edges = pa.array(np.arange(0, lists.size + 1, some).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([batch.column("item_id")[lo + d].as_py()] * len(wins)), pa.array(wins), pa.array(np.full(len(wins), n, np.int32)), pa.ListArray.from_arrays(edges, pa.array(lists.ravel()))],
+                            ["item_id", "win", "n", "shingles"],
+                        )
+
+    return emit
+
+
+def _hits(words: K.Words, lengths: list[int], table: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, place, hash) of the shingles of a piece that may be wanted; all inside one document."""
+    doc_end = np.repeat(words.first[1:], words.counts())
+    for length in lengths:
+        found = K.windows(words.hashes(), length)
+        at = np.flatnonzero(bit_filter.test(table, found))
+        at = at[at + length <= doc_end[at]]
+        yield length, at, found[at]
+
+
+def _counter(lengths: list[int], shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        total = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for _, _, data, at in K.pieces(batch.column("text")):
-                found = K.in_sorted(_words(data, at).hashes(), wanted)
-                total += np.bincount(found[found >= 0], minlength=len(wanted))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
+            found = [h for _, _, data, at in K.pieces(batch.column("text")) for _, _, h in _hits(_words(data, at), lengths, shared.value)]
+            token, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     return count
 
 
-def corpus_counts(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
-    """Occurrences of each wanted word hash in all documents; at most as many rows as words are wanted."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    rows = docs.select("text").mapInArrow(_counter(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {int(wanted[r["word"]]): r["n"] for r in rows}
-
+def _placer(size: int, lengths: list[int], shared):
+    """Each document's number of words, and the places of prefix tokens with the words around them."""
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("context", pa.string())]))
 
-def _blocks(benchmark: DataFrame, size: int, most: int) -> Iterator[dict[tuple, set[str]]]:
-    items: list[tuple[str, str]] = []
-    n = 0
-    for row in benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as string) item_id", "text").toLocalIterator():
-        items.append((row["item_id"], row["text"]))
-        n += len(row["text"]) // 2 + 1
-        if n >= most:
-            yield item_windows(items, size)
-            items, n = [], 0
-    if items:
-        yield item_windows(items, size)
-
-
-def _searched(docs: DataFrame, benchmark: DataFrame, size: int, windows_per_block: int) -> DataFrame:
-    """``docs`` with the columns HITS and ITEMS filled."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in K.pieces(batch.column("text")):
+                words = _words(data, at)
+                raw = data.tobytes()
+                places: list[list[dict]] = [[] for _ in range(hi - lo)]
+                for length, where, token in _hits(words, lengths, shared.value):
+                    doc = np.searchsorted(words.first, where, "right") - 1
+                    for p, d, t in zip(where.tolist(), doc.tolist(), token.view(np.int64).tolist(), strict=True):
+                        a, b = int(words.first[d]), int(words.first[d + 1])
+                        begin = max(a, p + length - size)
+                        context = b" ".join(words.text(begin, min(b, p + size))).decode()
+                        places[d].append({"token": t, "at": p - a, "before": p - begin, "context": context})
+                digest = [hashlib.sha256(raw[at[d] : at[d + 1]]).hexdigest() if places[d] else None for d in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(words.counts()), pa.array(digest, pa.string()), pa.array(places, kind)], ["doc_id", "n_words", "digest", "places"]
+                )
+
+    return emit
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with ``uid``, n_words and digest; (uid, win, start, stop) of each occurrence; (win, item_id))."""
     spark = docs.sparkSession
-    state = docs.withColumns({HITS: F.lit(None).cast("binary"), ITEMS: F.array().cast("array<string>")})
-    for found in _blocks(benchmark, size, windows_per_block):
-        wanted = np.unique(np.array([w for window in found for w in window], np.uint64))
-        index = Index(found, size, corpus_counts(docs, wanted))
-        state = state.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), state.schema)
-    return state
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, windows_per_block: int = 500_000) -> DataFrame:
+    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("item_id is not null and text is not null")
+    rows = materialize(items.mapInArrow(_item_windows(size, SPAN), "item_id string, win string, n int, shingles array<long>"))
+    wins = rows.groupBy("win").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    lengths = [r[0] for r in rows.select(F.least("n", F.lit(SPAN)).alias("length")).distinct().orderBy("length").collect()]
+    tokens = materialize(wins.select("win", "n", F.posexplode("shingles").alias("place", "token")))
+
+    known = tokens.select("token").distinct()
+    shared = spark.sparkContext.broadcast(bit_filter.build(known, F.col("token")))
+    counts = docs.select("text").mapInArrow(_counter(lengths, shared), "token long, n long").groupBy("token").agg(F.sum("n").alias("many"))
+    ranked = tokens.join(counts, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "token", "place", "n")).alias("rarest"))
+    index = materialize(ranked.select("win", "rarest.token", "rarest.place", "rarest.n"))
+
+    shared = spark.sparkContext.broadcast(bit_filter.build(index.select("token").distinct(), F.col("token")))
+    base = docs.select("doc_id", "text").mapInArrow(_placer(size, lengths, shared), PLACES)
+    base = materialize(base.withColumn("uid", F.monotonically_increasing_id()))
+    placed = base.select("uid", F.explode("places").alias("p")).select("uid", "p.*")
+    near = placed.join(index, "token").where("place <= before")
+    stretch = F.expr("slice(split(context, ' '), before - place + 1, n)")
+    met = near.where((F.size(stretch) == F.col("n")) & (F.concat_ws(" ", stretch) == F.col("win")))
+    start = F.col("at") - F.col("place")
+    return base.drop("places"), met.select("uid", "win", start.alias("start"), (start + F.col("n")).alias("stop")).distinct(), rows.select("win", "item_id").distinct()
+
+
+def _items_of(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(uid, items): the sorted ids of the items with occurring windows."""
+    each = found.select("uid", "win").distinct().join(items, "win").select("uid", "item_id").distinct()
+    return each.groupBy("uid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2) -> DataFrame:
     """For each row of ``docs``: its words, the words inside item windows, the items, and whether there are ``least_items``."""
-    state = _searched(docs.selectExpr("cast(doc_id as long) doc_id", "text"), benchmark, size, windows_per_block)
-    return state.mapInArrow(_report(least_items), SCHEMA)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 1, windows_per_block: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` with windows of fewer than ``least_items`` items, all columns unchanged."""
-    state = _searched(docs, benchmark, size, windows_per_block)
-    return state.where(F.size(ITEMS) < least_items).drop(HITS, ITEMS)
+    base, found, items = _found(docs.selectExpr("cast(doc_id as long) doc_id", "text"), benchmark, size)
+    found = materialize(found)
+    spans = found.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    nothing = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc, s):
+        more = F.greatest(F.lit(0).cast("long"), s["stop"] - F.greatest(acc["upto"], s["start"]))
+        return F.struct(F.greatest(acc["upto"], s["stop"]).alias("upto"), (acc["n"] + more).alias("n"))
+
+    hit = spans.select("uid", F.aggregate("spans", nothing, step)["n"].alias("n_hit"))
+    out = base.join(hit.join(_items_of(found, items), "uid"), "uid", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    many = F.size("items").cast("long")
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), many.alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (many >= least_items).alias("contaminated"), "items",
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 1) -> DataFrame:
+    """The rows of ``docs`` with windows of fewer than ``least_items`` items, all columns unchanged. Rows with the same text share their lot."""
+    base, found, items = _found(docs.selectExpr("cast(null as long) doc_id", "text"), benchmark, size)
+    dirty = _items_of(found, items).where(F.size("items") >= least_items)
+    gone = materialize(base.where("digest is not null").join(dirty, "uid", "left_semi").select("digest").distinct())
+    return bit_filter.without(docs, F.sha2(F.col("text").cast("binary"), 256), gone)

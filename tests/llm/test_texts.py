@@ -83,14 +83,15 @@ def test_chunks_follow_content():
         media_chunks.read_back(media_chunks.stored_form([(hashlib.sha256(b"a").digest(), b"b")]))
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     rows = corpus()
     passages = [t for _, t, *_ in rows if t and len(t.split()) >= 30]
     items = [(1, " ".join(passages[0].split()[5:17])), (2, passages[1]), (3, "ONE, two!"), (4, "absent from all of them"), (5, None), (6, ""), (None, "one"), (7, "again " * 9), (7, "again " * 9), (10, "again")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     tok = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
-    for per_block in (500_000, 3):
-        got = by_id(decontamination.find_contamination(docs, bench, windows_per_block=per_block))
+    for span in (3, 1, 8):
+        monkeypatch.setattr(decontamination, "SPAN", span)
+        got = by_id(decontamination.find_contamination(docs, bench))
         for i, text, *_ in rows:
             own, hit, found = tok(text), set(), set()
             for k, t in items:
