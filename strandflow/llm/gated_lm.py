@@ -9,9 +9,10 @@ any unseen word (n1 + 1) / (N + n1 + 1), where N is the class's tokens and n1 it
 words seen once. So probabilities of all events sum to 1.
 
 Counts (of words, spellings, classes and class pairs) cover all training
-documents, and so does the network: in each epoch, documents are dealt by hash
-into shards of about ``SHARD`` tokens, each shard runs truncated backpropagation
-over all its tokens from the same weights, and the weights are averaged by tokens.
+documents, and so does the network: an epoch takes every document once, in one of
+its rounds; a round's documents are dealt by hash into shards of about ``SHARD``
+tokens, each shard runs truncated backpropagation over all its tokens from the
+same weights, and the weights are averaged by tokens.
 Long texts take part whole: a shard is laid end to end and cut into parallel
 streams, whose state starts at zero and is carried from window to window and from
 block to block. Scoring runs over whole documents in windows, and the state is
@@ -21,7 +22,9 @@ Words with high counts (at most ``head`` of them) are broadcast; all other
 words of a document get their counts by a join.
 
 Null texts are empty: their one token is the end. Words are told apart by 64-bit
-hashes. An empty table gives no rows.
+hashes. An empty table gives no rows; with no training row nothing is known, every
+word has its spelling class's share for the unseen, and train_tokens is 0. Rows
+without doc_id train and are scored like others; repeated rows count each time.
 """
 
 from __future__ import annotations
@@ -88,7 +91,7 @@ class Network:
     def __init__(self, unigram: np.ndarray, groups: np.ndarray, seed: int = 0, hidden: int = HIDDEN):
         """``groups``: SIDE x SIDE class ids."""
         rng = np.random.default_rng(seed)
-        self.hidden = hidden
+        self.hidden, self.rooms = hidden, {}
         self.group = np.empty(groups.size, np.int64)
         self.member = np.empty(groups.size, np.int64)
         self.group[groups.ravel()] = np.repeat(np.arange(groups.shape[0]), groups.shape[1])
@@ -104,43 +107,54 @@ class Network:
             "b0": np.log(share / share.sum(1, keepdims=True)).astype(f),
         }
 
-    def step(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, h: np.ndarray, gx: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New state, gates and candidate; ``gx``: the inputs' part of the gates."""
         k = self.hidden
-        gx, gh = self.p["x"][before], h @ self.p["u"]
+        gh = h @ self.p["u"]
         gates = _fast_sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
         z, r = gates[:, :k], gates[:, k:]
         n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
         return h + z * (n - h), z, r, n, gh[:, 2 * k :]
 
-    def _softmax(self, logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        logits -= logits.max(1, keepdims=True)
-        at = logits[np.arange(len(target)), target].copy()
+    def _softmax(self, logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability of each target, exponentials, and their sums; logits are bounded, so that neither overflows."""
+        np.clip(logits, -40, 40, out=logits)
+        at = logits[np.arange(len(target)), target]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
-        return at - np.log(total), logits / total[:, None]
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        return at - np.log(total), logits, total
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target class; with ``grads``, those of the summed loss and its gradient by h."""
         g, m = self.group[target], self.member[target]
-        log_p, p = self._softmax(h @ self.p["a"] + self.p["a0"], g)
+        log_p, p, total = self._softmax(h @ self.p["a"] + self.p["a0"], g)
         dh = None
         if grads is not None:
+            p /= total[:, None]
             p[np.arange(len(g)), g] -= 1
             grads["a"] += h.T @ p
             grads["a0"] += p.sum(0)
             dh = p @ self.p["a"].T
         order = np.argsort(g.astype(np.int16), kind="stable")
-        edge = np.searchsorted(g[order], np.arange(self.p["b"].shape[0] + 1))
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            here = order[edge[k] : edge[k + 1]]
-            own = h[here]
-            inner, p = self._softmax(own @ self.p["b"][k] + self.p["b0"][k], m[here])
-            log_p[here] += inner
-            if grads is not None:
-                p[np.arange(len(here)), m[here]] -= 1
-                grads["b"][k] += own.T @ p
-                grads["b0"][k] += p.sum(0)
-                dh[here] += p @ self.p["b"][k].T
+        edge = np.searchsorted(g[order], np.arange(self.p["b"].shape[0] + 1)).tolist()
+        held, own = [k for k in range(len(edge) - 1) if edge[k] < edge[k + 1]], h[order]
+        logits = np.empty((len(g), self.p["b"].shape[2]), h.dtype)
+        for k in held:
+            here = slice(edge[k], edge[k + 1])
+            np.matmul(own[here], self.p["b"][k], out=logits[here])
+            logits[here] += self.p["b0"][k]
+        inner, p, total = self._softmax(logits, m[order])
+        log_p[order] += inner
+        if grads is not None:
+            p /= total[:, None]
+            p[np.arange(len(g)), m[order]] -= 1
+            back = np.empty_like(own)
+            for k in held:
+                here = slice(edge[k], edge[k + 1])
+                grads["b"][k] += own[here].T @ p[here]
+                grads["b0"][k] += p[here].sum(0)
+                np.matmul(p[here], self.p["b"][k].T, out=back[here])
+            dh[order] += back
         return log_p, dh
 
     def window(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, keep: np.ndarray) -> tuple[float, dict, np.ndarray]:
@@ -148,16 +162,17 @@ class Network:
         steps, streams = before.shape
         k = self.hidden
         past, states = [], []
+        gx = np.take(self.p["x"], before, axis=0, out=self._room(0, (steps, streams, 3 * k), h.dtype), mode="clip")
         for t in range(steps):
             h = h * keep[t][:, None]
-            new = self.step(h, before[t])
+            new = self.step(h, gx[t])
             past.append((h, *new[1:]))
             h = new[0]
             states.append(h)
-        grads = {name: np.zeros_like(v) for name, v in self.p.items() if name != "x"}
+        grads = {name: np.zeros_like(v) for name, v in self.p.items() if name not in ("x", "u")}
         log_p, d_out = self.output(np.concatenate(states), target.ravel(), grads)
         d_out = d_out.reshape(steps, streams, k)
-        d_x = np.empty((steps, streams, 3 * k), np.float32)
+        d_x, d_u = self._room(1, (2, steps, streams, 3 * k), h.dtype)
         dh = np.zeros_like(h)
         for t in reversed(range(steps)):
             dh = dh + d_out[t]
@@ -165,16 +180,29 @@ class Network:
             d_n = dh * z * (1 - n * n)
             d_z = dh * (n - h0) * z * (1 - z)
             d_r = d_n * gn * r * (1 - r)
-            d_x[t] = np.concatenate([d_z, d_r, d_n], 1)
-            d_h = np.concatenate([d_z, d_r, d_n * r], 1)
-            grads["u"] += h0.T @ d_h
+            d_x[t, :, :k], d_x[t, :, k : 2 * k], d_x[t, :, 2 * k :] = d_z, d_r, d_n
+            d_h = d_u[t]
+            d_h[:, : 2 * k] = d_x[t, :, : 2 * k]
+            np.multiply(d_n, r, out=d_h[:, 2 * k :])
             dh = (dh * (1 - z) + d_h @ self.p["u"].T) * keep[t][:, None]
-        order = np.argsort(before.ravel(), kind="stable")
+        grads["u"] = np.concatenate([x[0] for x in past]).T @ d_u.reshape(-1, 3 * k)
+        order = np.argsort(before.ravel().astype(np.int16), kind="stable")
         own = before.ravel()[order]
         start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        grads["x"] = (own[start], np.add.reduceat(d_x.reshape(-1, 3 * k)[order], start, axis=0))
+        by_class = np.take(d_x.reshape(-1, 3 * k), order, axis=0, out=gx.reshape(-1, 3 * k), mode="clip")
+        grads["x"] = (own[start], np.add.reduceat(by_class, start, axis=0))
         return -float(log_p.sum()), grads, h
 
+    def _room(self, key: int, shape: tuple, kind: np.dtype) -> np.ndarray:
+        """Scratch space that one window after another uses."""
+        held = self.rooms.get(key)
+        if held is None or held.shape != shape or held.dtype != kind:
+            held = self.rooms[key] = np.empty(shape, kind)
+        return held
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rooms": {}}
+
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
@@ -199,7 +227,7 @@ class Network:
                 here = start[:a] + t
                 target = cls[here]
                 before = cls[here - 1] if t else np.full(a, end)
-                h = self.step(h[:a] if len(h) > a else h, before)[0]
+                h = self.step(h[:a] if len(h) > a else h, self.p["x"][before])[0]
                 states.append(h)
                 targets.append(target)
                 who.append(a)
@@ -214,7 +242,7 @@ class Network:
 class Trainer:
     """Truncated backpropagation with Adam over a line of documents laid end to end, block after block."""
 
-    def __init__(self, network: Network, end: int, streams: int = 96, steps: int = WINDOW, rate: float = 0.008):
+    def __init__(self, network: Network, end: int, streams: int = 192, steps: int = WINDOW, rate: float = 0.008):
         self.net, self.end, self.streams, self.steps, self.rate = network, end, streams, steps, rate
         self.m = {k: np.zeros_like(v) for k, v in network.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in network.p.items()}
@@ -379,22 +407,26 @@ def _average(rows: pa.Table) -> pa.Table:
     return pa.table({"slice": rows.column("slice")[:1], "seen": pa.array([int(seen.sum())], pa.int64()), "w": pa.array([mean.tobytes()], pa.binary())})
 
 
-def train_network(network: Network, lines: DataFrame, end: int, total: int, epochs: int) -> int:
-    """Fits the network to all of ``lines`` (doc_id, line), of ``total`` tokens; returns the tokens of the last epoch."""
+def train_network(network: Network, lines: DataFrame, end: int, total: int, epochs: int, rounds: int) -> int:
+    """Fits the network to all of ``lines`` (doc_id, line), of ``total`` tokens: each epoch takes every line in one of its rounds. Returns the tokens of the last epoch."""
     context = lines.sparkSession.sparkContext
-    shards = max(1, -(-total // SHARD))
+    shards = max(1, -(-total // (SHARD * rounds)))
     seen = 0
     for epoch in range(epochs):
-        dealt = lines.withColumn("_k", F.xxhash64("doc_id", "line", F.lit(epoch)))
-        # another hash: within a shard, _k still has all values
-        dealt = dealt.repartitionById(shards, F.pmod(F.xxhash64("_k"), F.lit(shards)).cast("int")).sortWithinPartitions("_k", "doc_id", "line")
-        shared = context.broadcast(network)
-        learned = dealt.select("line").mapInArrow(_learn(shared, end, epoch, epochs, max(total / shards, 1.0)), "shard int, slice int, seen long, w binary")
-        mean = sorted(learned.groupBy("slice").applyInArrow(_average, "slice int, seen long, w binary").collect(), key=lambda r: r["slice"])
-        if mean:
-            network.set_flat(np.concatenate([np.frombuffer(r["w"], np.float32) for r in mean]))
-            seen = mean[0]["seen"]
-        shared.unpersist()
+        seen = 0
+        keyed = lines.withColumn("_k", F.xxhash64("doc_id", "line", F.lit(epoch)))
+        for turn in range(rounds):
+            # other hashes: within a round and a shard, _k still has all values
+            dealt = keyed.where(F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(rounds)) == turn)
+            dealt = dealt.repartitionById(shards, F.pmod(F.xxhash64("_k"), F.lit(shards)).cast("int")).sortWithinPartitions("_k", "doc_id", "line")
+            shared = context.broadcast(network)
+            learn = _learn(shared, end, epoch * rounds + turn, epochs * rounds, max(total / (shards * rounds), 1.0))
+            learned = dealt.select("line").mapInArrow(learn, "shard int, slice int, seen long, w binary")
+            mean = sorted(learned.groupBy("slice").applyInArrow(_average, "slice int, seen long, w binary").collect(), key=lambda r: r["slice"])
+            if mean:
+                network.set_flat(np.concatenate([np.frombuffer(r["w"], np.float32) for r in mean]))
+                seen += mean[0]["seen"]
+            shared.unpersist()
     return seen
 
 
@@ -446,7 +478,7 @@ def _pass(shared):
     return score
 
 
-def fit(docs: DataFrame, head: int, epochs: int) -> tuple[Model, DataFrame, np.ndarray]:
+def fit(docs: DataFrame, head: int, epochs: int, rounds: int) -> tuple[Model, DataFrame, np.ndarray]:
     """The model, the counts (h, s, n) of words beyond its head, and log10 of the weight of the unseen by spelling class."""
     spark = docs.sparkSession
     train = docs.where(~held_out(7, 2))
@@ -491,14 +523,14 @@ def fit(docs: DataFrame, head: int, epochs: int) -> tuple[Model, DataFrame, np.n
     found = lines.select("line").mapInArrow(_pairs(model.end), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     model.network = Network(unigram, similar_groups(pairs.reshape(CLASSES, CLASSES)))
-    train_network(model.network, lines, model.end, total or 0, epochs)
+    train_network(model.network, lines, model.end, total or 0, epochs, rounds)
     return model, counts.where(F.col("level") < least).select("h", "n"), np.log10(once + 1)[FREQUENT:]
 
 
-def score_documents(docs: DataFrame, head: int = 1 << 18, epochs: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = 1 << 18, epochs: int = 1, rounds: int = 3) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): token counts, unigram base score and model score, in log10."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    model, rare, unseen = fit(docs, head, epochs)
+    model, rare, unseen = fit(docs, head, epochs, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passed = docs.select("doc_id", held_out(7, 2).alias("held_out"), "text").mapInArrow(_pass(shared), PASSED)
     passed = materialize(passed.withColumn("uid", F.monotonically_increasing_id()))
@@ -506,11 +538,11 @@ def score_documents(docs: DataFrame, head: int = 1 << 18, epochs: int = 3) -> Da
     norm = float(np.log10(model.total + model.distinct + 1))
     tail = passed.select("uid", F.explode("tail").alias("t")).select("uid", "t.h", "t.s", F.col("t.n").alias("times"))
     tail = tail.join(rare, "h", "left")
-    alone = F.element_at(F.array(*(F.lit(float(x)) for x in unseen)), F.col("s").cast("int") + 1)
+    alone = F.element_at(F.array(*(F.lit(float(x)) for x in unseen)), F.greatest(F.col("s").cast("int"), F.lit(0)) + 1)
     tail = tail.groupBy("uid").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("t_known"),
         F.sum(F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1) - F.lit(norm))).alias("t_base"),
-        F.sum(F.col("times") * F.when(F.col("n").isNotNull(), F.log10("n")).otherwise(alone)).alias("t_score"),
+        F.sum(F.col("times") * F.when(F.col("n").isNotNull(), F.log10("n")).when(F.col("s") >= 0, alone).otherwise(0.0)).alias("t_score"),
     )
     out = passed.drop("tail").join(tail, "uid", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))

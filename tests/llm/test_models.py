@@ -159,7 +159,7 @@ def test_class_probabilities_sum_to_one():
 def test_lm_scores(make, head):
     rng = random.Random(8)
     rows = [(2000 + i, syllables(rng, EN if i % 2 else FR, 150), None, None) for i in range(150)] + corpus(3)
-    got = {r["doc_id"]: r for r in gated_lm.score_documents(make(rows), head=head, epochs=2).collect()}
+    got = {r["doc_id"]: r for r in gated_lm.score_documents(make(rows), head=head, epochs=3).collect()}
     assert len(got) == len(rows)
     tok = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
     counts = Counter(w for i, t, *_ in rows if not held(i, 7, 2) for w in tok(t))
@@ -178,6 +178,12 @@ def test_lm_empty(make):
     df = make(corpus(1)[:3])
     assert gated_lm.score_documents(df.limit(0)).count() == 0
     assert gated_lm.score_documents(df, epochs=1).count() == 3
+    unseen = [i for i in range(300) if held(i, 7, 2)][:4]
+    seen = [i for i in range(300) if not held(i, 7, 2)][:4]
+    for ids in (unseen, seen):
+        got = gated_lm.score_documents(make([*((i, "One two three", None, None) for i in ids), (ids[0], None, None, None)])).collect()
+        assert len(got) == 5 and all(np.isfinite([r["score"], r["base_score"]]).all() and r["held_out"] == (ids is unseen) for r in got)
+        assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got} == ({(4, 0, 0), (1, 0, 0)} if ids is unseen else {(4, 4, 17), (1, 1, 17)})
 
 
 def test_lm_learns_from_long_texts(make):
@@ -200,16 +206,16 @@ def test_lm_epoch_covers_all_tokens(spark, monkeypatch):
     for _ in range(2):
         network = gated_lm.Network(np.ones(1024), np.arange(1024).reshape(32, 32))
         before = network.flat()
-        assert gated_lm.train_network(network, lines, 7, total, 2) == total
+        assert gated_lm.train_network(network, lines, 7, total, 2, 2) == total
         assert np.abs(network.flat() - before).max() > 0
         fitted.append(network.flat())
     assert (fitted[0] == fitted[1]).all()
 
 
-@pytest.mark.parametrize("n", [1, 95, 96, 1000])
+@pytest.mark.parametrize("n", [1, 191, 192, 1000])
 def test_trainer_takes_each_token_once(n):
     network = gated_lm.Network(np.ones(1024), np.arange(1024).reshape(32, 32))
     trainer = gated_lm.Trainer(network, 7)
-    for line in (np.arange(n), np.zeros(0), np.arange(n)):
+    for line in (np.arange(n) % 1024, np.zeros(0), np.arange(n) % 1024):
         trainer.feed(line.astype(np.int16), lambda seen: 0.0)
     assert trainer.seen == 2 * n and trainer.last == n - 1
