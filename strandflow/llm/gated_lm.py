@@ -48,7 +48,7 @@ CLASSES = SIDE * SIDE
 FREQUENT = 256  # the end token included
 SPELLINGS = CLASSES - FREQUENT
 FALLBACK = 64
-HIDDEN = 32
+HIDDEN = 16
 WINDOW = 32
 SHARD = 1 << 20  # tokens that one task learns from between two averages
 BLOCK = 1 << 20  # tokens that lie in memory while it does
@@ -527,7 +527,7 @@ def fit(docs: DataFrame, head: int, epochs: int, rounds: int) -> tuple[Model, Da
     return model, counts.where(F.col("level") < least).select("h", "n"), np.log10(once + 1)[FREQUENT:]
 
 
-def score_documents(docs: DataFrame, head: int = 1 << 18, epochs: int = 1, rounds: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = 1 << 19, epochs: int = 1, rounds: int = 3) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): token counts, unigram base score and model score, in log10."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     model, rare, unseen = fit(docs, head, epochs, rounds)

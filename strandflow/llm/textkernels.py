@@ -141,13 +141,10 @@ class Words:
         return out
 
     def suffixes(self, length: int) -> np.ndarray:
-        """The last ``length`` bytes (at most 7) of each word as an integer."""
-        out = np.zeros(len(self.starts), np.uint64)
-        for j in range(length):
-            here = self.ends - 1 - j
-            inside = here >= self.starts
-            out |= np.where(inside, self.case[self.data[np.where(inside, here, 0)]], 0).astype(np.uint64) << np.uint64(8 * j)
-        return out
+        """The last ``length`` bytes (at most 7) of each word as an integer, the last one lowest."""
+        padded = np.concatenate([np.zeros(8, np.uint8), self.bytes])
+        lanes = np.ndarray((len(self.data) + 1,), ">u8", padded, strides=(1,))
+        return lanes[self.ends].astype(np.uint64) & _KEEP[np.minimum(self.ends - self.starts, length)]
 
 
 def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = NON_BLANK, case: np.ndarray = SAME) -> Words:
