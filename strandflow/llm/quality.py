@@ -2,11 +2,11 @@
 
 A bounded sample of labelled rows (``per_class`` of each label, texts of at
 most ``most_bytes``) is cut into blocks; one dictionary is trained on the good
-blocks, one on the bad. A text is compressed block by block against both, and
-the normalised size difference (bad - good) / (bad + good), for the text and at
-its worst block, with the text's own compressibility, is calibrated to a
-probability by logistic regression and an isotonic fit on rows that
-the dictionaries have not seen.
+blocks of a third of it, one on the bad. A text is compressed block by block
+against both, and the normalised size difference (bad - good) / (bad + good) of
+the whole text, and nothing else, becomes the score: an isotonic fit on the rows
+that the dictionaries have not seen calibrates it, and a logistic curve of it,
+with a thousandth of the weight, keeps texts apart that share a step.
 
 Empty and null texts are scored as a text of no difference. With one label only
 or none, every score is that label's share, 0.5 without labels.
@@ -27,7 +27,6 @@ from strandflow.llm.boosting import Isotonic, logistic, sigmoid
 from strandflow.llm.tables import held_out, labelled_sample
 
 SCHEMA = "doc_id long, held_out boolean, score double"
-N_FEATURES = 6
 
 
 def blocks(text: bytes, size: int) -> list[bytes]:
@@ -45,41 +44,31 @@ class Compressors:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_open": None}
 
-    def features(self, text: bytes) -> list[float]:
+    def difference(self, text: bytes) -> float:
+        """The normalised size difference; above 0 if the good dictionary fits better."""
         if not text:
-            return [0.0] * N_FEATURES
+            return 0.0
         if self._open is None:
             self._open = []
             for raw in (self.good, self.bad):
                 kind = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO)
                 kind.precompute_compress(level=self.level)
                 self._open.append(zstandard.ZstdCompressor(dict_data=kind, write_checksum=False, write_content_size=False, write_dict_id=False))
-        g_all = b_all = 0
-        worst, best = 1.0, -1.0
+        good = bad = 0
         for x in blocks(text, self.block):
-            g, b = (len(c.compress(x)) for c in self._open)
-            g_all, b_all = g_all + g, b_all + b
-            d = (b - g) / (b + g)
-            worst, best = min(worst, d), max(best, d)
-        return [(b_all - g_all) / (b_all + g_all), worst, best, g_all / len(text), b_all / len(text), np.log1p(len(text)) / 10]
+            good, bad = good + len(self._open[0].compress(x)), bad + len(self._open[1].compress(x))
+        return (bad - good) / (bad + good)
 
 
 class Model:
-    def __init__(self, compressors: Compressors | None, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, calibrated: Isotonic | None, share: float):
-        self.compressors, self.mean, self.scale, self.weights, self.calibrated, self.share = compressors, mean, scale, weights, calibrated, share
+    def __init__(self, compressors: Compressors | None, curve: np.ndarray, calibrated: Isotonic | None, share: float):
+        self.compressors, self.curve, self.calibrated, self.share = compressors, curve, calibrated, share
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.compressors is None:
             return np.full(len(texts), self.share)
-        x = (np.array([self.compressors.features(t) for t in texts]).reshape(-1, N_FEATURES) - self.mean) / self.scale
-        raw = _expand(x) @ self.weights[:-1] + self.weights[-1]
-        return np.clip(0.999 * self.calibrated(raw) + 0.001 * sigmoid(raw), 0, 1)
-
-
-def _expand(x: np.ndarray) -> np.ndarray:
-    """Features, their squares and products."""
-    i, j = np.triu_indices(x.shape[1])
-    return np.column_stack([x, np.clip(x[:, i] * x[:, j], -25, 25)])
+        x = np.array([self.compressors.difference(t) for t in texts])
+        return np.clip(0.999 * self.calibrated(x) + 0.001 * sigmoid(x * self.curve[0] + self.curve[1]), 0, 1)
 
 
 def train_dictionary(texts: list[bytes], size: int, block: int) -> bytes:
@@ -90,22 +79,19 @@ def train_dictionary(texts: list[bytes], size: int, block: int) -> bytes:
         return b"".join(samples)[-size:] or b" " * 8
 
 
-def train(rows: list[tuple[str, int]], dictionary: int = 64 << 10, block: int = 4096, level: int = 3) -> Model:
+def train(rows: list[tuple[str, int]], dictionary: int = 64 << 10, block: int = 1024, level: int = 3) -> Model:
     """``rows``: (text, label)."""
     y = np.array([label for _, label in rows], float)
-    nothing = np.zeros(N_FEATURES)
     if len(set(y.tolist())) < 2:
-        return Model(None, nothing, nothing, nothing, None, float(y.mean()) if len(y) else 0.5)
+        return Model(None, np.zeros(2), None, float(y.mean()) if len(y) else 0.5)
     texts = [t.encode() for t, _ in rows]
-    turn = np.arange(len(rows)) % 3
-    by = [[t for t, label, k in zip(texts, y, turn, strict=True) if label == v and k == 0] for v in (1, 0)]
+    first = np.arange(len(rows)) % 3 == 0
+    by = [[t for t, label, k in zip(texts, y, first, strict=True) if label == v and k] for v in (1, 0)]
     compressors = Compressors(*(train_dictionary(x, dictionary, block) for x in by), block, level)
-    x = np.array([compressors.features(t) for t in texts])
-    mean, scale = x[turn == 1].mean(0), x[turn == 1].std(0) + 1e-9
-    x = _expand((x - mean) / scale)
-    weights = logistic(x[turn == 1], y[turn == 1])
-    raw = x[turn == 2] @ weights[:-1] + weights[-1]
-    return Model(compressors, mean, scale, weights, Isotonic().fit(raw, y[turn == 2]), float(y.mean()))
+    x = np.array([compressors.difference(t) for t in texts])[~first]
+    curve = logistic(x[:, None], y[~first], ridge=1e-3)
+    curve[0] = max(curve[0], 0.0)
+    return Model(compressors, curve, Isotonic().fit(x, y[~first]), float(y.mean()))
 
 
 def _scorer(shared):
