@@ -10,8 +10,8 @@ that row comes to the driver.
 A source gets weight * budget tokens, rounded: whole epochs, then a part of one. Each
 epoch reads the source's blocks in a new order, and each block's documents in a
 new order; the last epoch stops at the last document that fits. Running totals
-go over blocks first and then inside the block, so no source is ever in one
-task.
+go over 256 lanes of the block order first, then over the blocks of a lane, and then
+inside the block, so no source is ever in one task.
 
 Null or empty texts have no tokens; such documents come along with their block.
 A null source counts as ''. Repeated rows are documents of their own.
@@ -84,11 +84,16 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float = 0.9
     number = F.conv(F.substring(_key(seed, F.col("source"), identity), 1, 8), 16, 10).cast("long")
     placed = tokens.join(few(sources.drop("weight")), "source").withColumn("block", number % F.col("blocks")).withColumn("_id", identity)
 
-    blocks = placed.groupBy("source", "block", "full", "part").agg(F.sum("n_tokens").alias("tokens"))
+    blocks = materialize(placed.groupBy("source", "block", "full", "part").agg(F.sum("n_tokens").alias("tokens")))
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))
-    blocks = blocks.withColumn("epoch", epochs).withColumn("_k", _key(seed, F.col("epoch"), F.col("source"), F.col("block")))
-    order = Window.partitionBy("source", "epoch").orderBy("_k", "block")
-    blocks = blocks.withColumn("block_rank", F.row_number().over(order)).withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens"))
+    blocks = blocks.withColumn("epoch", epochs).withColumn("_k", _key(seed, F.col("epoch"), F.col("source"), F.col("block"))).withColumn("lane", F.substring("_k", 1, 2))
+    lanes = blocks.groupBy("source", "epoch", "lane").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    earlier = Window.partitionBy("source", "epoch").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = lanes.select("source", "epoch", "lane", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_ahead") for c in ("n", "t")))
+    order = Window.partitionBy("source", "epoch", "lane").orderBy("_k", "block")
+    so_far = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = blocks.join(lanes, ["source", "epoch", "lane"])
+    blocks = blocks.withColumn("block_rank", (F.row_number().over(order) + F.col("n_ahead")).cast("int")).withColumn("before", F.col("t_ahead") + so_far - F.col("tokens"))
     read = blocks.where("epoch < full or before < part").select("source", "block", "epoch", "block_rank", "before")
 
     rows = placed.join(read, ["source", "block"])
