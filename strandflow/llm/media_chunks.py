@@ -40,6 +40,7 @@ from strandflow.llm.tables import materialize
 
 MAGIC = b"GCH1"
 UNIT = 192
+REACH = 32  # bytes that the rolling hash sees
 PLACED = 1 << 22  # payload bytes that are handed on together
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -77,6 +78,8 @@ def cuts(length: int, places: np.ndarray, least: int, most: int) -> list[int]:
 
 class Cutter:
     def __init__(self, bits: int = 11, least: int = 512, most: int = 8192):
+        if not REACH <= least <= most:
+            raise ValueError(f"chunks must be at least {REACH} bytes, so that cuts don't depend on what comes before the chunk")
         self.bits, self.least, self.most = bits, least, most
 
     def payloads(self, column: pa.Array) -> Iterator[tuple[int, int, bytes, list[int]]]:

@@ -22,6 +22,21 @@ def by_id(df):
     return out
 
 
+def stored_by_hand(payload: bytes, bits: int, least: int, most: int) -> tuple[bytes, int]:
+    """The stored form, byte by byte: a rolling sum of shifted gears cuts the payload."""
+    table, chunks, last, rolled = [int(g) for g in media_chunks._GEAR], [], 0, []
+    for b in payload:
+        rolled.append(table[b])
+    for i in range(len(payload)):
+        h = sum(rolled[i - k] << k for k in range(min(32, i + 1))) & 0xFFFFFFFF if i + 1 - last >= least else 1
+        if i + 1 - last >= least and h >> (32 - bits) == 0 or i + 1 - last == most:
+            chunks.append(payload[last : i + 1])
+            last = i + 1
+    chunks += [payload[last:]] if last < len(payload) else []
+    listed = b"".join(len(c).to_bytes(4, "little") + hashlib.sha256(c).digest() for c in chunks)
+    return b"GCH1" + (192).to_bytes(2, "little") + len(chunks).to_bytes(4, "little") + listed + b"".join(chunks), len(chunks)
+
+
 def test_media_round_trip(docs):
     got = by_id(media_chunks.media_reports(docs, media_chunks.Cutter(bits=6, least=32, most=512)))
     rows = corpus()
@@ -33,7 +48,11 @@ def test_media_round_trip(docs):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-16:])
-        assert f"sum={sum(payload)};square={sum(b * b for b in payload)};" in r["feature"]
+        media, n_chunks = stored_by_hand(payload, 6, 32, 512)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        above = [b * len(payload) > sum(payload) for b in payload]
+        crossings = sum(x != y for x, y in zip(above, above[1:], strict=False))
+        assert r["feature"] == f"chunks={n_chunks};sum={sum(payload)};square={sum(b * b for b in payload)};crossings={crossings}"
     same = {}
     for i, text, *_ in rows:
         seen = same.setdefault(text or "", {k: v for k, v in got[i].items() if k != "doc_id"})
@@ -68,7 +87,9 @@ def test_chunks_follow_content():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    cutter = media_chunks.Cutter(bits=6, least=16, most=400)
+    with pytest.raises(ValueError):
+        media_chunks.Cutter(least=31)
+    cutter = media_chunks.Cutter(bits=6, least=32, most=400)
     import pyarrow as pa
 
     text = "".join(chr(c) for c in rng.integers(97, 123, 20_000))
@@ -78,7 +99,7 @@ def test_chunks_follow_content():
         chunks = media_chunks.split(payload, ends)
         assert b"".join(chunks) == payload and all(len(c) <= 400 for c in chunks)
         found.append(set(chunks))
-    assert len(found[0] & found[1]) > 0.9 * len(found[0])
+    assert len(found[0] & found[1]) > 0.85 * len(found[0])
     with pytest.raises(ValueError):
         media_chunks.read_back(media_chunks.stored_form([(hashlib.sha256(b"a").digest(), b"b")]))
 
