@@ -1,14 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from a bounded sample of training rows (about
-``per_language`` texts of each language, chosen by a hash of doc_id, each at
-most ``most_bytes``); the
-smoothed log-probability matrix (2**bits buckets by languages) is broadcast. A
-batch is scored as a sparse sum: one gather per n-gram, summed by document.
-
-A text that is null or has no letter is ``und`` with score 0. The score is the
-posterior probability of the answer, with the evidence of long texts scaled
-down to ``evidence`` n-grams so that it stays graded.
+Counts are those of all training rows, whole texts, summed by Spark from each
+task's matrix; the smoothed log-probability matrix (2**bits buckets by languages) is
+broadcast. A batch is scored as a sparse sum: one gather per n-gram, summed by
+document. All cased letters are folded. The prior is uniform: how many rows a
+language has says nothing about the next text.
+
+A text that is null or has no letter is ``und`` with score 0, as is every text when
+no language was learned. The score is the posterior probability of the answer,
+with the evidence of long texts scaled down to ``evidence`` n-grams so that it stays
+graded. Rows without doc_id train and are scored like others; repeated rows count
+each time; an empty table gives no rows. More than ``most_languages`` languages, which
+bounds the matrix, are an error; none is left out.
 """
 
 from __future__ import annotations
@@ -21,30 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm import textkernels as K
-from strandflow.llm.tables import held_out
+from strandflow.llm.codepoints import fold, is_letter, look_up, read, table
+from strandflow.llm.tables import held_out, materialize
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def _folded() -> np.ndarray:
-    table = np.arange(1024, dtype=np.uint32)
-    for c in range(1024):
-        if len(low := chr(c).lower()) == 1:
-            table[c] = min(ord(low), 1023)
-    return table
-
-
-_FOLD = _folded()
-_LETTER = np.array([chr(c).isalpha() for c in range(1024)])
-
-
-def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of a piece and the offsets of its documents in them."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    before = K.code_points_before(data)[at]
-    return np.where(points < 1024, _FOLD[np.minimum(points, 1023)], points), before
-
-
 def grams(points: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(n, bucket of the n-gram that starts at each code point) for each order."""
     h = np.zeros(len(points), np.uint32)
@@ -61,7 +46,8 @@ class Model:
 
     def score(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Answer and score of each document of a piece."""
-        points, first = code_points(data, at)
+        raw, first = read(data, at)
+        points = fold(raw)
         n_docs, k = len(first) - 1, len(self.languages)
         total, seen = np.zeros((n_docs, k)), np.zeros(n_docs)
         for n, bucket in grams(points, self.orders, self.bits):
@@ -73,11 +59,8 @@ class Model:
                 for j in range(k):
                     total[some, j] += np.add.reduceat(self.weights[j][bucket], edges)[::2]
                 seen[some] += (hi - lo)[some]
-        letter = np.where(points < 1024, _LETTER[np.minimum(points, 1023)], False)
-        counts = np.concatenate([[0], np.cumsum(letter)])[first]
-        has = np.diff(counts) > 0
-        for d in np.flatnonzero(~has & (np.diff(first) > 0)).tolist():
-            has[d] = any(chr(c).isalpha() for c in points[first[d] : first[d + 1]] if c >= 1024)
+        letters = np.concatenate([[0], np.cumsum(look_up(table(is_letter), raw))])[first]
+        has = np.diff(letters) > 0
         if not k:
             return ["und"] * n_docs, np.zeros(n_docs)
         total *= np.minimum(1, self.evidence / np.maximum(seen, 1))[:, None]
@@ -87,32 +70,55 @@ class Model:
         return [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, p[np.arange(n_docs), best], 0.0)
 
 
-def train(rows: list[tuple[str, str]], orders: tuple[int, ...], bits: int, alpha: float, evidence: int) -> Model:
-    """``rows``: (text, language)."""
-    languages = sorted({y for _, y in rows})
+def _counts(orders: tuple[int, ...], bits: int, most: int = 64):
+    """(language, bucket, n): n-grams inside documents; a task holds the matrix of at most ``most`` languages, and one of a piece."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for language, counts in held.items():
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], ["lang", "bucket", "n"])
+
+        for batch in batches:
+            for lo, hi, data, at in K.pieces(batch.column("text")):
+                names, code = np.unique(np.array(batch.column("lang").slice(lo, hi - lo).to_pylist(), object), return_inverse=True)
+                points, first = read(data, at)
+                points = fold(points)
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                for n, bucket in grams(points, orders, bits):
+                    inside = doc[: len(bucket)] == doc[n - 1 :]
+                    owner, bucket = code[doc[: len(bucket)][inside]], bucket[inside]
+                    for i, language in enumerate(names):
+                        mine = bucket if len(names) == 1 else bucket[owner == i]
+                        if len(mine):
+                            counts = np.bincount(mine, minlength=1 << bits)
+                            held[language] = held[language] + counts if language in held else counts
+                if len(held) > most:
+                    yield from found()
+                    held.clear()
+        yield from found()
+
+    return emit
+
+
+def train(docs: DataFrame, orders: tuple[int, ...], bits: int, alpha: float, evidence: int, most_languages: int) -> Model:
+    """Learns from all rows of ``docs`` (text, lang), neither of them null."""
+    found = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_counts(orders, bits), "lang string, bucket int, n long")
+    found = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = materialize(found)
+    languages = sorted(r[0] for r in found.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     counts = np.zeros((len(languages), 1 << bits))
-    for j, language in enumerate(languages):
-        for _, _, data, at in K.pieces(pa.array([t for t, y in rows if y == language], pa.string())):
-            points, first = code_points(data, at)
-            for n, bucket in grams(points, orders, bits):
-                inside = np.ones(len(bucket), bool)
-                for m in range(1, n):  # n-grams that cross into the next document
-                    cut = first[1:-1] - m
-                    inside[cut[(cut >= 0) & (cut < len(bucket))]] = False
-                counts[j] += np.bincount(bucket[inside], minlength=1 << bits)
+    rows = found.toArrow()
+    at = {language: i for i, language in enumerate(languages)}
+    counts[np.array([at[x] for x in rows.column("lang").to_pylist()], np.int64), rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     weights = np.log(counts + alpha) - np.log((counts + alpha).sum(1, keepdims=True)) if languages else counts
     return Model(languages, weights.astype(np.float32), orders, bits, evidence)
 
 
-def training_rows(docs: DataFrame, per_language: int, most_bytes: int, most_languages: int = 4096, mod: int = 4, rest: int = 2) -> list[tuple[str, str]]:
-    """A bounded sample: training rows whose hash of doc_id falls under per_language / rows of the language."""
-    rows = docs.where(~held_out(mod, rest) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= most_bytes))
-    counts = rows.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_l").limit(most_languages)
-    share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    found = rows.join(F.broadcast(counts), F.col("lang") == F.col("_l")).where(share * F.col("_n") < per_language).select("doc_id", "text", "_l").collect()
-    return [(r["text"], r["_l"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["_l"], r["text"]))]
-
-
 def _predictor(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -127,8 +133,8 @@ def _predictor(shared):
     return predict
 
 
-def identify_language(docs: DataFrame, per_language: int = 400, most_bytes: int = 1 << 15, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14, alpha: float = 0.5, evidence: int = 60) -> DataFrame:
+def identify_language(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14, alpha: float = 0.5, evidence: int = 60, most_languages: int = 512) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): the predicted language and its score."""
-    model = train(training_rows(docs, per_language, most_bytes), orders, bits, alpha, evidence)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = docs.where(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    shared = docs.sparkSession.sparkContext.broadcast(train(known, orders, bits, alpha, evidence, most_languages))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), "text").mapInArrow(_predictor(shared), SCHEMA)
