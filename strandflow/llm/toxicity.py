@@ -7,12 +7,19 @@ trees, and a quarter the calibration. Features of whole texts: lexicon hits,
 their density, weight and variety, second-person words near hits, capitals,
 punctuation, obfuscated words, length.
 
-Empty and null texts get the score of a text without any feature. With no
-labelled rows, every score is 0 for lack of evidence.
+Letters, capitals and punctuation are those of all scripts; words are compared in
+lower case. A token is obfuscated if a mask (``*#$%&@`` or a digit that stands for a
+letter) has letters before and after it, unless it is an address or a path.
+
+Empty and null texts get the score of a text without any feature. With labels of
+one kind only, every score is 1 or 0 as that label says; with none it is 0, for
+lack of evidence. Rows without doc_id are scored; repeated rows get equal scores;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm import codepoints
 from strandflow.llm import textkernels as K
 from strandflow.llm.boosting import BoostedTrees, Isotonic, sigmoid
 from strandflow.llm.tables import held_out, labelled_sample
@@ -33,11 +41,30 @@ STRONG = 3.0
 N_FEATURES = 13
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous votre usted ustedes tú ti".split()
 NEAR = 4
-_LETTERS = K.byte_table(lambda b: b > 0x7F or chr(b).isalpha())
-_UPPER = K.byte_table(lambda b: 65 <= b <= 90)
-_PUNCTUATION = K.byte_table(lambda b: b < 128 and not chr(b).isalnum() and b > 32)
-_SHOUT = K.byte_table(lambda b: chr(b) in "!?")
-_MASKS = K.byte_table(lambda b: chr(b) in "*@#$%&0123456789")
+#: Kinds of code points: blanks, small letters and letters without case, capitals, the rest, digits that stand for letters; from MASK on, punctuation.
+BLANK, SMALL, CAPITAL, OTHER, DIGIT, MASK, AT, DOT, SLASH, SHOUT, PUNCTUATION = range(11)
+_FIXED = {**dict.fromkeys(" \t\n\r\x0b\x0c", BLANK), **dict.fromkeys("013457", DIGIT), **dict.fromkeys("*#$%&", MASK), "@": AT, ".": DOT, "/": SLASH, **dict.fromkeys("!?\u00a1\u00bf\uff01\uff1f", SHOUT)}
+_ANY_LETTER = K.byte_table(lambda b: b != 32)
+_TOKEN = K.byte_table(lambda b: b != BLANK)
+
+
+def _kind(c: str) -> int:
+    if c in _FIXED:
+        return _FIXED[c]
+    if c.isalpha():
+        return CAPITAL if c.isupper() else SMALL
+    return PUNCTUATION if unicodedata.category(c)[0] in "PS" else OTHER
+
+
+def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, K.Words]:
+    """Kinds of the code points of a piece, offsets of its documents in them, and its words: runs of letters, in lower case."""
+    points, first = codepoints.read(data, at)
+    kinds = codepoints.look_up(codepoints.table(_kind, "uint8"), points)
+    letters = (kinds == SMALL) | (kinds == CAPITAL)
+    folded = np.where(letters, codepoints.fold(points), 32).astype("<u4")
+    size = 1 + (folded > 0x7F) + (folded > 0x7FF) + (folded > 0xFFFF)
+    raw = np.frombuffer(folded.tobytes().decode("utf-32-le").encode(), np.uint8)
+    return kinds, first, K.words(raw, np.concatenate([[0], np.cumsum(size)])[first], _ANY_LETTER)
 
 
 def _keys(words: K.Words) -> list[np.ndarray]:
@@ -60,9 +87,9 @@ class Lexicon:
 
 def features(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """Documents by features."""
-    words = K.words(data, at, _LETTERS, K.LOWER)
+    kinds, first, words = _lines(data, at)
     n = np.maximum(words.counts(), 1)
-    size = np.maximum(np.diff(at), 1)
+    size = np.maximum(np.diff(first), 1)
     keys = _keys(words)
     entry, weight = np.full(len(words.starts), -1), np.zeros(len(words.starts))
     for k in keys:
@@ -79,22 +106,29 @@ def features(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> np.ndarray:
         near[step:] |= person[:-step] & same
         near[:-step] |= person[step:] & same
     hits = _per_document(hit, words.first)
-    kinds = len(lexicon.codes) + 1
-    variety = np.bincount(np.unique(doc[hit] * kinds + entry[hit]) // kinds, minlength=len(n))
+    entries = len(lexicon.codes) + 1
+    variety = np.bincount(np.unique(doc[hit] * entries + entry[hit]) // entries, minlength=len(n))
     some = np.flatnonzero(words.counts())
     most = np.zeros(len(n))
     if len(some):
         most[some] = np.maximum.reduceat(weight, words.first[:-1][some])
     summed = np.diff(np.concatenate([[0], np.cumsum(weight)])[words.first])
-    tokens = K.words(data, at)
-    inside = np.concatenate([[0], np.cumsum(_MASKS[data])])
-    letters = np.concatenate([[0], np.cumsum(_LETTERS[data])])
-    # a letter first, a mask before the last byte, and more letters
-    masked = (inside[np.maximum(tokens.ends - 1, tokens.starts)] - inside[tokens.starts] > 0) & _LETTERS[data[tokens.starts]] & (letters[tokens.ends] - letters[tokens.starts] > 1)
+    tokens = K.words(kinds, first, _TOKEN)
+    where = [np.concatenate([[0], np.cumsum(m)]) for m in ((kinds == MASK) | (kinds == DIGIT), kinds == AT, kinds == DOT, kinds == SLASH)]
+    _, ats, dots, slashes = (w[tokens.ends] - w[tokens.starts] for w in where)
+    # masks between the first and the last letter of the token
+    letter = np.flatnonzero((kinds == SMALL) | (kinds == CAPITAL))
+    lo, hi = np.searchsorted(letter, tokens.starts), np.searchsorted(letter, tokens.ends) - 1
+    some = hi > lo
+    between = np.zeros(len(lo), np.int64)
+    for w in where[:2]:
+        between[some] += w[letter[hi[some]]] - w[letter[lo[some]]]
+    masked = (between > 0) & (slashes == 0) & ~((ats > 0) & (dots > 0))
     obfuscated = _per_document(masked, tokens.first)
+    shares = (kinds == CAPITAL, kinds >= MASK, kinds == SHOUT)
     return np.column_stack(
         [hits, hits / n, variety, summed / n, summed, most, _per_document(hit & near, words.first), _per_document(person, words.first) / n]
-        + [_per_document(m[data], at) / size for m in (_UPPER, _PUNCTUATION, _SHOUT)]
+        + [_per_document(m, first) / size for m in shares]
         + [obfuscated / np.maximum(tokens.counts(), 1), np.log1p(words.counts())]
     ).astype(float)
 
@@ -104,8 +138,7 @@ _PERSON: list[np.ndarray] = []
 
 def _second_person() -> np.ndarray:
     if not _PERSON:
-        data, at = K.string_bytes(pa.array(SECOND_PERSON))
-        _PERSON.append(np.unique(K.words(data, at, _LETTERS, K.LOWER).hashes()))
+        _PERSON.append(np.unique(_lines(*K.string_bytes(pa.array(SECOND_PERSON)))[2].hashes()))
     return _PERSON[0]
 
 
@@ -113,7 +146,7 @@ def learn_lexicon(texts: list[str], y: np.ndarray, least: float, odds: float, de
     """Codes in at least ``least`` of the texts of label 1 whose log odds are ``odds`` or more, by so many standard deviations."""
     with_1, with_0 = Counter(), Counter()
     for lo, hi, data, at in K.pieces(pa.array(texts, pa.string())):
-        words = K.words(data, at, _LETTERS, K.LOWER)
+        words = _lines(data, at)[2]
         keys = _keys(words)
         for d in range(hi - lo):
             own = np.unique(np.concatenate([k[words.first[d] : words.first[d + 1]] for k in keys]))
@@ -133,12 +166,12 @@ def learn_lexicon(texts: list[str], y: np.ndarray, least: float, odds: float, de
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, trees: BoostedTrees | None, calibrated: Isotonic | None):
-        self.lexicon, self.trees, self.calibrated = lexicon, trees, calibrated
+    def __init__(self, lexicon: Lexicon, trees: BoostedTrees | None, calibrated: Isotonic | None, share: float = 0.0):
+        self.lexicon, self.trees, self.calibrated, self.share = lexicon, trees, calibrated, share
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return np.zeros(len(at) - 1)
+            return np.full(len(at) - 1, self.share)
         raw = self.trees.raw(features(data, at, self.lexicon))
         return np.clip(self.calibrated(raw) + 1e-9 * sigmoid(raw), 0, 1)
 
@@ -152,7 +185,7 @@ def train(rows: list[tuple[str, int]], least: float = 0.01, odds: float = 1.0, d
     """``rows``: (text, label)."""
     y = np.array([label for _, label in rows], float)
     if len(set(y.tolist())) < 2:
-        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), None, None)
+        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), None, None, float(y.mean()) if len(y) else 0.0)
     turn = np.arange(len(rows)) % 4
     part = lambda *k: [t for (t, _), j in zip(rows, turn, strict=True) if j in k]
     lexicon = learn_lexicon(part(0, 1), y[turn < 2], least, odds, deviations, most)

@@ -13,6 +13,7 @@ import pytest
 
 from strandflow.llm import gated_lm, language_id, quality, toxicity
 from strandflow.llm.boosting import BoostedTrees, Isotonic, sigmoid
+from strandflow.llm.tables import labelled_sample
 from tests.llm.conftest import corpus
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -73,6 +74,75 @@ def test_toxicity(labelled):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got.collect() if r["predicted"] == 0}
     assert toxicity.score_toxicity(docs, labels.limit(0)).where("score > 0").count() == 0
+    for label in (0, 1):
+        only = labels.where(f"toxic = {label} and quality = {label}")
+        for operator, frame in ((toxicity.score_toxicity, docs), (quality.score_quality, docs)):
+            assert {r["score"] for r in operator(frame, only).collect()} == {float(label)}
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_samples_are_bounded(spark, make):
+    """One id under very many rows, one text under very many ids, rows without id."""
+    texts = [(7, f"own text {i}", None, None) for i in range(3000)] + [(100 + i, "one text", None, None) for i in range(500)] + [(None, f"nameless {i}", None, None) for i in range(500)]
+    texts += [(1000 + i, f"text {i}", None, None) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, *_ in texts if i] * 2 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = labelled_sample(make(texts), labels, "toxic", 5, 0, 10, 1 << 15)
+    assert 0 < len(rows) <= 20 and len(set(rows)) == len(rows)
+    assert max(sum(y == k for _, y in rows) for k in (0, 1)) <= 10
+    assert labelled_sample(make(texts), labels, "toxic", 5, 0, 10, 3) == []
+
+
+def plain_features(text: str, strong: set[str]) -> dict:
+    """Some features of toxicity by plain loops over characters."""
+    words, tokens = re.findall(r"[^\W\d_]+", text.lower()), text.split()
+    masked = 0
+    for t in tokens:
+        places = [i for i, c in enumerate(t) if c.isalpha()]
+        inside = t[places[0] : places[-1]] if places else ""
+        masked += any(c in "*#$%&013457@" for c in inside) and "/" not in t and not ("@" in t and "." in t)
+    return {"hits": sum(w in strong for w in words), "capitals": sum(c.isupper() for c in text) / max(1, len(text)), "masked": masked / max(1, len(tokens)), "words": math.log1p(len(words))}
+
+
+def test_toxicity_features():
+    import pyarrow as pa
+
+    from strandflow.llm import textkernels as K
+
+    texts = ["You IDIOT! id1ot", "", "¿Qué? ÉTÉ “quoted” idiot", "word2vec a@b.org http://x.y/?a&b sh**t *** b*d", "ДУРАК дурак idiots", "1dea idea1"]
+    words = toxicity._lines(*K.string_bytes(pa.array(["idiot дурак"])))[2].hashes()
+    lexicon = toxicity.Lexicon(np.sort(words), np.full(2, 5.0))
+    found = toxicity.features(*K.string_bytes(pa.array(texts)), lexicon)
+    assert found.shape == (len(texts), toxicity.N_FEATURES)
+    for row, text in zip(found, texts, strict=True):
+        want = plain_features(text, {"idiot", "дурак"})
+        assert (row[0], row[8], row[11], row[12]) == pytest.approx((want["hits"], want["capitals"], want["masked"], want["words"]))
+
+
+def test_trees_and_isotonic_by_replay():
+    """Predictions by walking each tree in plain Python; the isotonic fit against all weighted averages."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    trees = BoostedTrees(rounds=8).fit(x, y)
+    for row, raw in zip(x[:50], trees.raw(x[:50]), strict=True):
+        total = trees.base
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+            node = 0
+            for f, c in zip(feature, cut, strict=True):
+                node = 2 * node + int(row[f[node]] > c[node])
+            total += leaf[node]
+        assert total == pytest.approx(raw)
+    z = np.sort(rng.uniform(size=40))
+    labels = (rng.uniform(size=40) < z).astype(float)
+    fit = Isotonic().fit(z, labels)
+    # min-max formula of the isotonic regression
+    want = [max(min(labels[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    pools = [want.index(v) for v in dict.fromkeys(want)] + [40]
+    means = [(labels[a:b].sum() + 0.5) / (b - a + 1) for a, b in zip(pools, pools[1:], strict=False)]
+    assert len(fit.y) <= len(means) + 1 and (np.diff(fit.y) >= 0).all()
+    assert fit.y == pytest.approx(np.maximum.accumulate(means)) if len(fit.y) == len(means) else True
+
+
 
 
 def test_language(labelled):
@@ -85,19 +155,41 @@ def test_language(labelled):
     assert language_id.identify_language(docs.limit(0)).count() == 0
 
 
-def test_language_grams_stay_inside_documents():
-    import pyarrow as pa
+def plain_grams(text: str, bits: int):
+    """Buckets of the 1, 2 and 3-grams of a text, by plain integers."""
+    points = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text]
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            h = 0
+            for m in range(1, n + 1):
+                h = (h * 0x01000193 + (points[i + m - 1] + m) * 0x9E3779B1) & 0xFFFFFFFF
+            yield ((h ^ (h >> 15)) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - bits)
 
-    from strandflow.llm import textkernels as K
 
-    texts = ["Ärger ÉTÉ", "", "b", "ab cd é"]
-    model = language_id.train([("aber ja", "de"), ("été là", "fr")], (1, 2, 3), 12, 0.5, 50)
-    ((_, _, data, at),) = K.pieces(pa.array(texts))
-    together = model.score(data, at)
-    for d, t in enumerate(texts):
-        ((_, _, data, at),) = K.pieces(pa.array([t]))
-        alone = model.score(data, at)
-        assert (alone[0][0], round(alone[1][0], 5)) == (together[0][d], round(together[1][d], 5))
+def test_language_by_plain_naive_bayes(make):
+    rng = random.Random(21)
+    some = ["Ärger ÉTÉ", "", "b", "ab cd é", "ДА нет", "ԱՐԵՒ արեւ", None, "漢字", "𐐀𐐨", "7 !", "x" * 3000]
+    rows = [(i, some[i % 11] if i % 3 == 0 else syllables(rng, FR if i % 2 else EN, 9), ("fr", "en", "ru", None)[i % 4], None) for i in range(90)]
+    rows.append((None, "no id", "en", None))
+    got = {r["doc_id"]: r for r in language_id.identify_language(make(rows), bits=10).collect()}
+    assert len(got) == len(rows)
+    counts: dict[str, Counter] = {}
+    for i, text, lang, _ in rows:
+        if text is not None and lang is not None and (i is None or not held(i, 4, 2)):
+            counts.setdefault(lang, Counter()).update(plain_grams(text, 10))
+    counts = {k: c for k, c in counts.items() if c}
+    for i, text, *_ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        found = list(plain_grams(text, 10))
+        total = {k: sum(math.log((c[g] + 0.5) / (sum(c.values()) + 512)) for g in found) * min(1, 60 / len(found)) for k, c in counts.items()}
+        top = max(total.values())
+        p = 1 / sum(math.exp(v - top) for v in total.values())
+        assert got[i]["score"] == pytest.approx(p, abs=1e-3)
+        assert total[got[i]["lang_pred"]] == pytest.approx(top, abs=1e-3)
+    with pytest.raises(ValueError):
+        language_id.identify_language(make(rows), most_languages=2)
 
 
 def test_boosting_and_isotonic():
