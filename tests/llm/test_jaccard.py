@@ -104,3 +104,51 @@ def test_odd_rows(make):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [4, 7, 8, None]
     assert classes(df.limit(0)).count() == 0
+
+
+def test_kept_rows_are_those_of_classes(spark):
+    """Ids with several texts, repeated rows, and columns named like our own."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "alpha beta gamma delta epsilon")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (6, b, 4), (6, b, 5), (6, c, 6), (6, c, 7), (7, None, 8), (7, "", 9), (None, a, 10)]
+    df = spark.createDataFrame([(*r, "x", 2) for r in rows], "doc_id int, text string, _key long, _gone string, _Node int")
+    kept = keep_one(df.repartition(3))
+    assert kept.columns == df.columns and kept.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    got = sorted(r["_key"] for r in kept.collect())
+    assert got in ([1, 3, 6, 8, 9, 10], [1, 3, 7, 8, 9, 10])
+    assert keep_one(df.limit(0)).count() == 0
+
+
+def test_buckets_follow_the_keys(make, monkeypatch):
+    """Many small buckets, merged in small steps, against brute force."""
+    from strandflow.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BUCKET_KEYS", 150)
+    monkeypatch.setattr(jaccard_join, "BUCKETS", 1)
+    rows = corpus(4) + near_copies(4, 60, 80, 6)
+    assert jaccard_join.buckets_for(Rule(), 100, 10_000) > 10 * jaccard_join.buckets_for(Rule(), 10, 500)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes(make(rows), Rule(3, 90, 100)).collect()}
+    assert got == brute(rows, Rule(3, 90, 100))
+
+
+def test_a_bucket_of_one_hot_key_stays_small():
+    """Rows that all share a key take one place, however many there are."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strandflow.llm import jaccard_join as j
+
+    held = []
+    ends = j._ends
+
+    def watched(keys, least, most):
+        held.append(len(keys))
+        return ends(keys, least, most)
+
+    j._ends = watched
+    try:
+        parts = [j.pack(np.arange(i * 100, i * 100 + 100), np.ones(100, np.int64), np.full(100, 77, np.uint64)) for i in range(300)]
+        batches = (pa.RecordBatch.from_arrays([pa.array([5], pa.int32()), pa.array([p], pa.binary())], ["bucket", "part"]) for p in parts)
+        (out,) = j._shared_keys(500)(batches)
+    finally:
+        j._ends = ends
+    assert out.num_rows == 1 and out.column("pivot")[0].as_py() == 0 and max(held) < 700

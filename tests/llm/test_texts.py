@@ -323,3 +323,124 @@ def test_long_texts_and_wide_batches():
         assert len(set(found[1])) == 1 and len({*found[0], *found[2], *found[5]}) == 6
     h = np.arange(50, dtype=np.uint64)
     assert (K.windows(h, 7)[3:20] == K.windows(h[3:], 7)[:17]).all()
+
+
+def unlike_words(n: int = 1024) -> tuple[str, str]:
+    """Two words over {a, b} that differ everywhere and that sums of powers modulo 2**64 can't tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_linear_hashes_confuse(spark, make):
+    from strandflow.llm import gated_lm
+    from strandflow.llm.jaccard_join import classes
+    from tests.llm.test_jaccard import Rule, brute
+
+    one, two = unlike_words()
+    a, b = unlike_words(64)
+    rows = [(1, " ".join([one] * 61), "en", "s"), (2, " ".join([two] * 61), "en", "s"), (3, " ".join(unlike_words()[0]), "en", "s"), (4, " ".join(two), "en", "s"), (5, one, None, None), (6, a, None, None), (7, b, None, None)]
+    df = make(rows)
+    want = brute_repeats(rows, 50)
+    got = by_id(substring_dedup.reports(df))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == want and want[2][1] == 0
+    linked = brute(rows, Rule())
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes(df).collect()} == linked and [linked[i][1] for i in (1, 2, 5, 6, 7)] == [1, 2, 5, 6, 7]
+    bench = spark.createDataFrame([(1, two), (2, b)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.find_contamination(df, bench).where("n_hit > 0").collect()} == {2, 7}
+    known = {i: len(set(t.split())) for i, t, *_ in rows}
+    assert len(known) == 7 and gated_lm.score_documents(df).where("n_known > n_tokens").count() == 0
+
+
+def test_long_whole_copies_are_parsed(make):
+    """Copies, near copies and passages over many blocks, with repeated lines."""
+    import random
+
+    rng = random.Random(12)
+    base = words(rng, 1500, 10**6)
+    line = words(rng, 9, 10**6)
+    rows = [(10, " ".join(base), None, None), (11, "  ".join(base), None, None), (12, "\n".join(base[:700] + ["new"] + base[701:]), None, None), (13, " ".join(base[100:160] + line * 40 + base[130:190]), None, None)]
+    rows += [(14, " ".join(line * 60), None, None), (15, " ".join(base[1400:] + base[:200]), None, None), (16, " ".join(base[5:54]), None, None)]
+    got = by_id(substring_dedup.remove_repeats(make(rows)))
+    want = brute_repeats(rows, 50)
+    for i, r in got.items():
+        gone = sum(s["stop"] - s["start"] for s in r["spans"])
+        assert (r["n_words"], gone, hashlib.sha256(r["kept"].encode()).hexdigest()) == want[i]
+    assert got[11]["kept"] == "" and [tuple(s) for s in got[12]["spans"]] == [(0, 700), (701, 1500)]
+
+
+def greedy(own: list[str], blocks: list[list[str]], size: int) -> list[tuple[int, int]]:
+    """A plain parse: at each place the longest match in any block; on to the next window outside the factor."""
+    out, p = [], 0
+    while p < len(own):
+        best = 0
+        for b in blocks:
+            for q in range(len(b)):
+                n = 0
+                while p + n < len(own) and q + n < len(b) and own[p + n] == b[q + n]:
+                    n += 1
+                best = max(best, n)
+        if best >= size:
+            out.append((p, p + best))
+        p += max(1, best - size + 1)
+    return out
+
+
+def test_factors_are_those_of_a_plain_parser():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandflow.llm import textkernels as K
+
+    rng = random.Random(9)
+    for _ in range(40):
+        size = rng.choice([1, 2, 4])
+        blocks = [[rng.choice("abc") for _ in range(rng.randrange(size, 25))] for _ in range(rng.randrange(1, 5))]
+        own = [rng.choice("abcd") for _ in range(rng.randrange(size, 40))]
+        reference = substring_dedup.Reference.of(pa.array([" ".join(b) for b in blocks]), size)
+        data, at = K.string_bytes(pa.array([" ".join(own)]))
+        w = K.words(data, at)
+        line = substring_dedup.Line(w.hashes(), data.tobytes(), w.starts, w.ends)
+        found = substring_dedup.factors(line, K.windows(w.hashes(), size), reference, size)
+        assert [(a, b) for a, b, _ in found] == greedy(own, blocks, size)
+        for a, b, q in found:
+            assert line.text(a, b) == reference.line.text(q, q + b - a)
+        # windows that hash alike but differ in words make no factor
+        false = substring_dedup.Reference(substring_dedup.Line(reference.line.hashes, b"z" * len(reference.line.raw), reference.line.starts, reference.line.ends), reference.windows, reference.place, reference.stop)
+        assert substring_dedup.factors(line, K.windows(w.hashes(), size), false, size) == [] and np.all(false.stop >= false.place)
+
+
+def test_decontamination_awkward_rows(spark):
+    text = "one two three four five six seven eight nine"
+    rows = [(None, text, 1), (3, text, 2), (3, text, 3), (3, "none of it", 4), (4, None, 5), (5, "", 6)]
+    df = spark.createDataFrame([(*r, "x", b"y", 0) for r in rows], "doc_id long, text string, _key long, _window_items string, _window_hits binary, uid int")
+    bench = spark.createDataFrame([(1, text, 5), (2, text, 6), (2, text, 6), (3, "six seven", 1), (None, "none", 1), (4, None, 1)], "item_id long, text string, n int")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontamination.find_contamination(df, bench).collect()), key=str)
+    assert got == sorted([(None, 9, 9, ["1", "2", "3"]), (3, 9, 9, ["1", "2", "3"]), (3, 9, 9, ["1", "2", "3"]), (3, 3, 0, []), (4, 0, 0, []), (5, 0, 0, [])], key=str)
+    kept = decontamination.drop_contaminated(df, bench)
+    assert kept.columns == df.columns
+    assert sorted(kept.collect(), key=str) == sorted(df.where("_key >= 4").collect(), key=str)
+    assert decontamination.drop_contaminated(df.limit(0), bench).count() == 0
+    assert decontamination.drop_contaminated(df, bench.limit(0)).count() == 6
+
+
+def test_filters_beyond_their_largest_size(docs, monkeypatch):
+    """Without a filter, every key goes to the joins."""
+    from strandflow.llm import bit_filter
+    from strandflow.llm.jaccard_join import classes
+    from tests.llm.test_jaccard import Rule, brute
+
+    monkeypatch.setattr(bit_filter, "MOST", 3)
+    got = by_id(substring_dedup.reports(docs))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == brute_repeats(corpus(), 50)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes(docs).collect()} == brute(corpus(), Rule())
+    assert media_chunks.media_reports(docs).count() == docs.count()
+
+
+def test_redaction_awkward_rows(spark):
+    rows = [(1, "password=abcdefgh1 x", 9), (1, None, None), (None, "", 0), (2, "clean", 5)]
+    df = spark.createDataFrame([(*r, "s", 4) for r in rows], "doc_id long, text string, n_chars int, spans string, _key long")
+    out = secret_scan.redact(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=str) == sorted([(1, "[SECRET] x", 10), (1, None, None), (None, "", 0), (2, "clean", 5)], key=str)
