@@ -57,6 +57,8 @@ from strandflow.llm.tables import fresh, materialize, spread_join
 SPARE = 1.5
 #: Rows of a pivot that step 3 takes together; larger groups are taken by pairs of parts.
 PART_ROWS = 4096
+#: Rows of a pivot that one task of a join by pivot takes.
+JOIN_ROWS = 512
 #: Keys of a hash bucket of column blocks, and the fewest buckets. A task takes one bucket, at about 50 bytes a key.
 BUCKET_KEYS = 4_000_000
 BUCKETS = 64
@@ -403,16 +405,16 @@ def links(docs: DataFrame, rule: Rule, sets: int, elements: int) -> DataFrame:
     sets = materialize(wanted.groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own")))
     pivots = sets.select(F.col("node").alias("pivot"), F.col("own").alias("other"))
     sizes = materialize(pairs.groupBy("pivot").agg(F.count("*").alias("n")))
-    members = materialize(spread_join(pairs.join(sets, "node"), pivots, "pivot", "node", sizes, PART_ROWS).mapInArrow(_judge(rule), "pivot long, node long, f long"))
+    members = materialize(spread_join(pairs.join(sets, "node"), pivots, "pivot", "node", sizes, JOIN_ROWS).mapInArrow(_judge(rule), "pivot long, node long, f long"))
 
     best = members.groupBy("pivot").agg(F.max(F.struct("f", "node")).alias("best"), F.count("*").alias("members"))
-    judged = members.join(best, "pivot").withColumn("open", F.col("f") + F.col("best.f") < 0)
+    judged = spread_join(members, best, "pivot", "node", sizes, JOIN_ROWS).withColumn("open", F.col("f") + F.col("best.f") < 0)
     star = judged.where("not open and node <> best.node").select(F.col("node").alias("u"), F.col("best.node").alias("v"))
     groups = judged.where("open and members > 2").groupBy("pivot").agg(F.ceil(F.first("members") / PART_ROWS).alias("parts"))
     left = materialize(judged.where("members > 2 and node <> pivot").select("pivot", "node", "f", "open").join(groups, "pivot"))
 
     kinds = "pivot long, node long, f long, open boolean, parts long, delta binary"
-    rows = spread_join(left.join(sets.select("node", "own"), "node"), pivots, "pivot", "node", sizes, PART_ROWS).mapInArrow(_differences, kinds)
+    rows = spread_join(left.join(sets.select("node", "own"), "node"), pivots, "pivot", "node", sizes, JOIN_ROWS).mapInArrow(_differences, kinds)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     blocks = rows.select("pivot", "node", "f", "open", "part", "delta", F.least("part", "j").alias("a"), F.greatest("part", "j").alias("b"))
     return star.unionByName(blocks.groupBy("pivot", "a", "b").applyInArrow(_forest(rule), "u long, v long"))
