@@ -23,6 +23,16 @@ def merge_distinct(*inputs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), inputs).distinct()
 
 
+def merge_intersect(*inputs: DataFrame) -> DataFrame:
+    """Rows that every input has, once each."""
+    return reduce(lambda a, b: a.intersect(b.select(*a.columns)), inputs)
+
+
+def merge_except(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of the first input that no other has, once each."""
+    return reduce(lambda a, b: a.subtract(b.select(*a.columns)), others, first)
+
+
 def dispatch(*cases: Column) -> Column:
     """The i-th expression for rows of the i-th input."""
     out = F.when(F.col(SOURCE) == 0, cases[0])

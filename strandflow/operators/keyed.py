@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandflow.functions import fnv1a64
-from strandflow.operators.ordered import number, running
+from strandflow.operators.ordered import Cuts, EvenCuts, number, running
 
 
 def key_by(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
@@ -32,7 +32,7 @@ def round_robin(df: DataFrame, parts: int, order: str = "seq") -> DataFrame:
     return number(df, order).withColumn("_partition", (F.col("_pos") % parts).cast("int")).drop("_pos")
 
 
-def running_fold(df: DataFrame, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), order: str = "seq", cuts: list[float] | None = None) -> DataFrame:
+def running_fold(df: DataFrame, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), order: str = "seq", cuts: Cuts | EvenCuts | None = None) -> DataFrame:
     """State after each row, for folds that Spark knows; hot keys are spread."""
     return running(df, order, folds, keys, cuts=cuts)
 
@@ -68,8 +68,8 @@ def fold_opaque(df: DataFrame, keys: tuple[str, ...], start, step: Callable, sch
 
 
 def salted_fold(df: DataFrame, keys: tuple[str, ...], salts: int, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
-    """Two-stage fold for folds without partial aggregation: ``salts`` groups a key first."""
-    first = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
+    """Two-stage fold for folds without partial aggregation: ``salts`` groups a key first. Rows are dealt by their place, so that repeated rows part as well."""
+    first = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
     return first.groupBy(*keys).agg(*(c.alias(n) for n, c in final.items()))
 
 

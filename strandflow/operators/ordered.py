@@ -8,50 +8,67 @@ before a range is added inside it. One shuffle of the rows, by key and range.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _FOLDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-#: Rows that one task may fold in order; more rows are cut into ranges, at most MOST_RANGES of them.
-ROWS_PER_RANGE = 2_000_000
-MOST_RANGES = 1024
 
 
-def _parts(rows: int) -> int:
-    return min(MOST_RANGES, -(-rows // ROWS_PER_RANGE))
+@dataclass(frozen=True)
+class EvenCuts:
+    """Ranges of positions 0 to ``rows`` - 1, by arithmetic."""
 
+    rows: int
+    ranges: int
 
-def even_cuts(rows: int) -> list[float]:
+    def place(self, order: Column) -> Column:
+        at = F.floor(order.cast("double") * self.ranges / max(self.rows, 1))
+        return F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(self.ranges - 1)), F.lit(0)).cast("int")
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Ranges between ascending values, by binary search."""
+
+    values: tuple[float, ...]
+
+    def place(self, order: Column) -> Column:
+        """How many values ``order`` has reached."""
+        if not self.values:
+            return F.lit(0)
+        bits = len(self.values).bit_length()
+        table = F.array(*(F.lit(float(c)) for c in [*self.values, *[float("inf")] * ((1 << bits) - len(self.values))]))
+        steps = F.array(*(F.lit(1 << i) for i in reversed(range(bits))))
+        value = order.cast("double")
+        return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.element_at(table, at + step) <= value, step).otherwise(0)), F.lit(0))
+
+
+def ranges_of(spark: SparkSession) -> int:
+    """As many ranges as a shuffle has partitions, whatever the rows."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def even_cuts(spark: SparkSession, rows: int) -> EvenCuts:
     """Cuts for positions 0 to ``rows`` - 1."""
-    n = _parts(rows)
-    return [float(rows * i // n) for i in range(1, n)]
+    return EvenCuts(rows, ranges_of(spark))
 
 
-def quantile_cuts(df: DataFrame, order: str, rows: int | None = None) -> list[float]:
+def quantile_cuts(df: DataFrame, order: str) -> Cuts:
     """Cuts at approximate quantiles of a numeric column. Any cuts give the same results; these spread evenly.
 
-    Costs a count and, for large inputs, a pass over the column; take them from
-    a table near the source and hand them on where the order stays the same.
+    Costs a pass over the column; take them from a table near the source and hand
+    them on where the order stays the same.
     """
-    n = _parts(df.count() if rows is None else rows)
+    n = ranges_of(df.sparkSession)
     found = df.approxQuantile(order, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    return sorted({c for c in found if c is not None})
-
-
-def _range(order: Column, cuts: list[float]) -> Column:
-    """How many cuts a value has reached, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    table = F.array(*(F.lit(float(c)) for c in [*cuts, *[float("inf")] * ((1 << len(cuts).bit_length()) - len(cuts))]))
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
-    value = order.cast("double")
-    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.element_at(table, at + step) <= value, step).otherwise(0)), F.lit(0))
+    return Cuts(tuple(sorted({c for c in found if c is not None})))
 
 
-def running(df: DataFrame, order: str, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), cuts: list[float] | None = None) -> DataFrame:
+def running(df: DataFrame, order: str, folds: dict[str, tuple[str, Column]], keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), cuts: Cuts | EvenCuts | None = None) -> DataFrame:
     """Adds a column for each fold: ``{name: (sum | count | min | max, column)}`` from the first row up to this one.
 
     ``order`` is a numeric column; rows of equal ``order`` come by ``ties``, null
@@ -60,12 +77,10 @@ def running(df: DataFrame, order: str, folds: dict[str, tuple[str, Column]], key
     """
     cuts = quantile_cuts(df, order) if cuts is None else cuts
     inner = {f"_v{i}": column for i, (_, column) in enumerate(folds.values())}
-    rows = df.withColumns({**inner, "_range": _range(F.col(order), cuts)})
+    rows = df.withColumns({**inner, "_range": cuts.place(F.col(order))})
     group = [*keys, "_range"]
     so_far = Window.partitionBy(*group).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = {name: _FOLDS[kind](f"_v{i}").over(so_far) for i, (name, (kind, _)) in enumerate(folds.items())}
-    if not cuts:
-        return rows.withColumns(here).drop(*inner, "_range")
     totals = rows.groupBy(*group).agg(*(_FOLDS[kind](f"_v{i}").alias(f"_t{i}") for i, (kind, _) in enumerate(folds.values())))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     again = {**_FOLDS, "count": F.sum}
@@ -83,6 +98,6 @@ def running(df: DataFrame, order: str, folds: dict[str, tuple[str, Column]], key
     return rows.withColumns(out).drop(*extra, *inner, "_range")
 
 
-def number(df: DataFrame, order: str, name: str = "_pos", keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), cuts: list[float] | None = None) -> DataFrame:
+def number(df: DataFrame, order: str, name: str = "_pos", keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), cuts: Cuts | EvenCuts | None = None) -> DataFrame:
     """Adds the position of each row in arrival order, from 0."""
     return running(df, order, {name: ("count", F.lit(1))}, keys, ties, cuts).withColumn(name, F.col(name) - 1)

@@ -28,17 +28,21 @@ def sorted_edges(edges: DataFrame) -> DataFrame:
     return edges.select((F.row_number().over(order) - 1).alias("place"), F.concat_ws(" -> ", "src", "dst").alias("edge"))
 
 
-def layers(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, depth): length of the longest path from a root. Frontiers are joined round by round; over ``most`` rounds means a cycle."""
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, depth): length of the longest path from a root. Frontiers are joined round by round; a cycle is an error."""
     frontier = roots(edges).withColumn("depth", F.lit(0))
     steps = edges.select("src", "dst").distinct()
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().count()
     found, depth = frontier, 0
     while True:
         depth += 1
         frontier = cut(frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        if depth > most:
-            raise ValueError("the graph has a cycle or a path that is too long")
+        if depth >= nodes:  # a path of as many edges as there are nodes meets one of them twice
+            raise ValueError("the graph has a cycle")
         found = found.unionByName(frontier)
-    return found.groupBy("node").agg(F.max("depth").alias("depth"))
+    out = found.groupBy("node").agg(F.max("depth").alias("depth"))
+    if out.count() < nodes:  # the others are on a cycle that no root reaches
+        raise ValueError("the graph has a cycle")
+    return out

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 from strandflow.operators.combine import merge
+from strandflow.operators.keyed import round_robin
 
 KEY = "key"
 
@@ -127,8 +128,10 @@ class Topology:
                 df = out[edges[0].source] if len(edges) == 1 else merge(*(out[e.source] for e in edges))
                 if edges[0].key is not None:
                     df = df.withColumn(KEY, edges[0].key)
+                elif node.parallelism and "seq" in df.columns:  # without a key, rows are dealt in turn
+                    df = round_robin(df, node.parallelism).withColumnRenamed("_partition", KEY)
                 if node.parallelism:
-                    df = df.repartition(node.parallelism, *([KEY] if edges[0].key is not None else []))
+                    df = df.repartition(node.parallelism, *([KEY] if KEY in df.columns else []))
                 out[name] = node.apply(df)
         return out
 

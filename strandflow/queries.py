@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from strandflow import functions as fn
 from strandflow import operators as op
+from strandflow import sinks
 from strandflow.operators.keyed import ordered_list
 from strandflow.plans import Topology, graph
-from strandflow.sources import ElementsBuilder, elements, events, replicated, table, words
+from strandflow.sources import ElementsBuilder, elements, events, replicated, table, vocabulary, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,28 +63,47 @@ def naive_map_double(spark, sf):
     return op.flat_map(stream, F.array(F.col("value") * 2))
 
 
-@query("""
-with w as (select doc_id, generate_subscripts(list_filter(string_split(text, ' '), lambda x: x <> ''), 1) as i, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) as word from documents)
-select word, cast(count(*) as bigint) as n from w group by word""")
+#: Words of the reference benchmark: 10 MiB of them from a vocabulary of 128.
+WORDS = 1_703_000
+DRAWN = f"(select id as seq, (id % 2147483648) * 2654435761 % 4294967296 as x from range({WORDS}) t(id))"
+DRAWN = f"(select seq, cast(floor((x // 65536 + x % 65536 * 65536) * 40503 % 4294967296 / 4096) as bigint) % 128 as i from {DRAWN})"
+GENERATED = f"(select cast(seq as bigint) as seq, ([{', '.join(repr(w) for w in vocabulary())}])[i + 1] as value from {DRAWN})"
+
+
+@query(f"select seq, value from {GENERATED}")
+def generated_words(spark, sf):
+    return words(spark, WORDS)
+
+
+@query(f"select seq, value || ': ' || count(*) over (partition by value order by seq rows unbounded preceding) as value from {GENERATED}")
 def bench_wordcount(spark, sf):
-    docs = table(spark, sf, "documents")
-    found = op.flat_map(docs, F.filter(F.split("text", " "), lambda x: x != ""), "word")
-    return op.final_fold(found, ("word",), n=F.count("*"))
+    counted = op.running_fold(words(spark, WORDS), {"n": ("count", F.lit(1))}, ("value",), cuts=op.even_cuts(spark, WORDS))
+    return counted.select("seq", F.concat_ws(": ", "value", "n").alias("value"))
 
 
 @query("""
-with w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as i from documents where lang = 'es')
+with w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as i from documents)
 select word, doc_id * 1000000 + i as seq, cast(count(*) over (partition by word order by doc_id, i rows unbounded preceding) as bigint) as n from w""")
 def wordcount_running(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'es'")
+    docs = table(spark, sf, "documents")
     found = op.flat_map(docs, F.split("text", " "), "word", keep=("doc_id",), place="i")
     found = found.withColumn("seq", F.col("doc_id") * 1000000 + F.col("i") + 1)
-    return op.running_fold(found, {"n": ("count", F.lit(1))}, ("word",)).select("word", "seq", "n")
+    # documents have about as many words each wherever their ids lie, so cuts of the ids are cuts of the order
+    by_doc = op.quantile_cuts(docs, "doc_id")
+    cuts = op.Cuts(tuple(c * 1000000 for c in by_doc.values))
+    return op.running_fold(found, {"n": ("count", F.lit(1))}, ("word",), cuts=cuts).select("word", "seq", "n")
 
 
-@query("select region.r_name as value, cast(r_regionkey as bigint) as seq from region")
+@query("select cast(r_regionkey as bigint) as seq, r_name as value from region")
 def sink_log(spark, sf):
-    return table(spark, sf, "region").select(F.col("r_name").alias("value"), F.col("r_regionkey").cast("long").alias("seq"))
+    """What the log took, in order; it refuses a stream of another type."""
+    names = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("seq"), F.col("r_name").alias("value"))
+    taken = sinks.log(names, "string")
+    try:
+        sinks.log(names, "bigint")
+    except TypeError:
+        return elements(spark, taken, "string")
+    raise AssertionError("the log took strings for numbers")
 
 
 # Projection, filter, generator
@@ -190,11 +210,11 @@ def merge_self(spark, sf):
 
 
 @query("""
-with a as (select event_id, row_number() over (order by event_id) as p from events where event_type = 'click'),
+with a as (select event_id, row_number() over (order by event_id) as p from events),
 b as (select o_orderkey, row_number() over (order by o_orderkey) as p from orders)
 select cast(p - 1 as bigint) as pos, event_id, o_orderkey from a join b using (p)""")
 def align_zip(spark, sf):
-    left = events(spark, sf).where("event_type = 'click'").select("seq", "event_id")
+    left = events(spark, sf).select("seq", "event_id")
     right = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), "o_orderkey")
     pairs = op.align(left, right)
     return pairs.select(F.col("_pos").alias("pos"), F.col("left.event_id").alias("event_id"), F.col("right.o_orderkey").alias("o_orderkey"))
@@ -211,6 +231,16 @@ def merge_distinct(spark, sf):
     return op.merge_distinct(table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")))
 
 
+@query("select c_nationkey as nation from customer intersect select s_nationkey from supplier")
+def merge_intersect(spark, sf):
+    return op.merge_intersect(table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")))
+
+
+@query("select n_nationkey as nation from nation except select s_nationkey from supplier")
+def merge_except(spark, sf):
+    return op.merge_except(table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")))
+
+
 # State
 
 
@@ -266,8 +296,7 @@ def time_roundtrip(spark, sf):
 
 def _cuts(base: DataFrame) -> dict:
     """Cuts of arrival order and of time, from the table itself."""
-    n = base.count()
-    return {"cuts": op.even_cuts(n), "time_cuts": op.quantile_cuts(base, "sec", n)}
+    return {"cuts": op.even_cuts(base.sparkSession, base.count()), "time_cuts": op.quantile_cuts(base, "sec")}
 
 
 def timed_events(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
@@ -323,14 +352,15 @@ def window_label(spark, sf):
     return found.select("start", fn.window_label(F.col("start"), F.col("stop")).alias("label"), "n")
 
 
-def _fired(size: int, slide: int, order: str = EVENTS) -> str:
-    """Panes by rows: closing rows are found by an inequality join."""
+def _fired(size: int, slide: int, order: str = EVENTS, shift: int = 0) -> str:
+    """Panes by rows: closing rows are found by an inequality join. ``shift`` moves the starts."""
     steps = -(-size // slide)
+    start = f"((sec - {shift}) // {slide} - i) * {slide} + {shift}"
     return f"""
 e as materialized (select event_type, user_id, event_id, value, seq, sec from {order}),
 g as (select *, max(sec - {DELAY}) over (order by seq rows unbounded preceding) as wm from e),
 k as materialized (select *, max(wm) over (partition by event_type order by seq rows unbounded preceding) as eff from g),
-w as materialized (select k.*, (sec // {slide} - i) * {slide} as start from k, range({steps}) t(i) where (sec // {slide} - i) * {slide} >= 0 and sec < (sec // {slide} - i) * {slide} + {size}),
+w as materialized (select k.*, {start} as start from k, range({steps}) t(i) where {start} >= 0 and sec < {start} + {size}),
 s as (select distinct event_type, start from w),
 d as (select event_type, eff, min(seq) as seq from k group by 1, 2),
 c as (select s.event_type, s.start, min(d.seq) as closed from s join d on d.event_type = s.event_type and d.eff >= s.start + {size} group by 1, 2),
@@ -375,6 +405,39 @@ def window_running_count(spark, sf):
     return each.select("event_type", "start", "pane", "seq", "n")
 
 
+#: Another assigner: tumbling windows that begin half an hour late.
+SHIFT = 1800
+
+
+@query(f"with {_fired(SIZE, SIZE, LATE, SHIFT)} select event_type, start, pane, cast(count(*) as bigint) as n from p group by 1, 2, 3")
+def window_own_assigner(spark, sf):
+    late, cuts = late_events(spark, sf)
+    start = F.col("_ts") - F.pmod(F.col("_ts") - SHIFT, F.lit(SIZE))
+    starts = F.filter(F.array(start), lambda s: s >= 0)
+    return op.fire(op.watermark(late, cuts=cuts["cuts"]), ("event_type",), SIZE, SIZE, **cuts, starts=starts, n=F.count("*")).select("event_type", "start", "pane", "n")
+
+
+# JSON and nulls
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.absent') as absent from events")
+def json_fields(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.absent").alias("absent"))
+
+
+NULLED = "(select event_id as seq, case when user_id % 5 <> 0 then user_id % 5 end as key, case when event_id % 3 <> 0 then cast(round(value * 100) as bigint) end as cents from events)"
+
+
+@query(f"select seq, coalesce(key, -1) as key, cast(count(cents) over w as bigint) as n, cast(coalesce(sum(cents) over w, 0) as bigint) as total from {NULLED} window w as (partition by key order by seq rows unbounded preceding)")
+def null_keys_and_values(spark, sf):
+    """A null key is a key of its own; null values change no fold."""
+    base = events(spark, sf)
+    rows = base.select("seq", F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 5).alias("key"), F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    cents = F.col("cents")
+    folded = op.running_fold(rows, {"n": ("count", cents), "total": ("sum", cents)}, ("key",), cuts=op.even_cuts(spark, base.count()))
+    return folded.select("seq", F.coalesce("key", F.lit(-1)).alias("key"), "n", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
 # Topologies
 
 
@@ -399,7 +462,7 @@ def graph_edges_sorted(spark, sf):
 
 @query(f"""
 with recursive e as (select * from {EDGES_SQL}), l(node, depth) as (
-select distinct src, 0 from e where src not in (select dst from e) union all select e.dst, l.depth + 1 from l join e on l.node = e.src where l.depth < 64)
+select distinct src, 0 from e where src not in (select dst from e) union all select e.dst, l.depth + 1 from l join e on l.node = e.src where l.depth < (select count(*) from e))
 select node, max(depth) as depth from l group by node""")
 def graph_layers(spark, sf):
     return graph.layers(_edges(spark))
@@ -418,8 +481,3 @@ def topology_pipeline(spark, sf):
     flow.connect(upper, sized)
     flow.connect(sized, total, key=F.col("p_size") % 5)
     return flow.run("total").select("seq", F.concat_ws(": ", "name", "size").alias("value"), "total")
-
-
-@query("select cast(id as bigint) as seq, cast(count(*) over (order by id rows unbounded preceding) as bigint) as n from range(20000) t(id)")
-def generated_words(spark, sf):
-    return op.running_fold(words(spark, 20000), {"n": ("count", F.col("value"))}).select("seq", "n")

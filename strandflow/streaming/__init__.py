@@ -7,11 +7,14 @@ executors and restarts from the query's checkpoint. Rows are taken in order of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+import pickle
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -56,6 +59,34 @@ def running_count(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     return out.toDF(*df.columns, "n")
 
 
+class Fold(StatefulProcessor):
+    """A user's step over each key's rows in order; its state lies pickled in the store."""
+
+    def __init__(self, columns: dict[str, str], order: str, start, step: Callable, names: list[str]):
+        self.columns, self.order, self.start, self.step, self.names = columns, order, start, step, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "blob binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, out = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else copy.deepcopy(self.start), []
+        for row in _sorted(rows, self.order).rename(columns=self.columns).to_dict("records"):
+            state, found = self.step(state, row)
+            out += found
+        self.state.update((pickle.dumps(state),))
+        yield pd.DataFrame(out, columns=self.names)
+
+
+def fold(df: DataFrame, key: str, start, step: Callable, schema: str, order: str = "seq") -> DataFrame:
+    """The streaming form of ``fold_opaque``: ``step(state, row) -> (state, rows)``; the state is kept from batch to batch."""
+    plain, name, _ = _plain(df)
+    kind = T.StructType.fromDDL(schema)
+    names = [f"o{i}" for i in range(len(kind))]
+    processor = Fold({v: k for k, v in name.items()}, name[order], start, step, names)
+    out = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kind, strict=True)])
+    return plain.groupBy(name[key]).transformWithStateInPandas(processor, out, "Append", "None").toDF(*kind.names)
+
+
 class RunningWatermark(StatefulProcessor):
     """The least, over the sources seen so far, of their running maximum watermark."""
 
@@ -86,48 +117,58 @@ def running_watermark(df: DataFrame, order: str = "seq", source: str | None = No
     return plain.withColumn("everything", F.lit(0)).groupBy("everything").transformWithStateInPandas(processor, schema, "Append", "None").toDF(*df.columns)
 
 
+def count_and_sum(held: tuple, value: float) -> tuple:
+    return held[0] + 1, held[1] + value
+
+
 class Panes(StatefulProcessor):
     """Windows of one key: each row is folded into its windows, then those that the key's clock has passed fire."""
 
-    def __init__(self, size: int, slide: int):
-        self.size, self.slide = size, slide
+    def __init__(self, size: int, slide: int, start, add: Callable, finish: Callable, names: list[str]):
+        self.size, self.slide, self.start, self.add, self.finish, self.names = size, slide, start, add, finish, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clock = handle.getValueState("clock", "wm long")
-        self.open = handle.getMapState("open", "start long", "n long, total double")
+        self.open = handle.getMapState("open", "start long", "blob binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         clock = self.clock.get()[0] if self.clock.exists() else None
-        held = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        held = {k[0]: pickle.loads(bytes(v[0])) for k, v in self.open.iterator()}
         before, out = set(held), []
         for row in _sorted(rows, "seq").itertuples():
-            ts, wm, value = int(row.ts), int(row.wm), float(row.value)
+            ts, wm = int(row.ts), int(row.wm)
             start = ts // self.slide * self.slide
             while ts >= 0 and start >= 0 and start + self.size > ts:
-                n, total = held.get(start, (0, 0.0))
-                held[start] = (n + 1, total + value)
+                held[start] = self.add(held[start] if start in held else copy.deepcopy(self.start), row.value)
                 start -= self.slide
             clock = wm if clock is None else max(clock, wm)
             for start in sorted(s for s in held if s + self.size <= clock):
-                n, total = held.pop(start)
-                out.append((key[0], start, start + self.size, int(row.seq), n, total))
+                out.append((key[0], start, start + self.size, int(row.seq), *self.finish(held.pop(start))))
         for start in before - set(held):
             self.open.removeKey((start,))
         for start, state in held.items():
-            self.open.updateValue((start,), state)
+            self.open.updateValue((start,), (pickle.dumps(state),))
         if clock is not None:
             self.clock.update((clock,))
-        yield pd.DataFrame(out, columns=["k", "start", "stop", "pane", "n", "total"])
+        yield pd.DataFrame(out, columns=["k", "start", "stop", "pane", *self.names])
+
 
+def fire(
+    df: DataFrame, key: str, size: int, slide: int, value: Column | None = None, order: str = "seq",
+    start=(0, 0.0), add: Callable = count_and_sum, finish: Callable = tuple, schema: str = "n long, total double",
+) -> DataFrame:
+    """Exact windows on a stream with ``_ts`` and an operator-wide ``_wm``: the panes of the batch operator.
 
-def fire(df: DataFrame, key: str, size: int, slide: int, value: Column | None = None, order: str = "seq") -> DataFrame:
-    """Exact windows on a stream with ``_ts`` and an operator-wide ``_wm``: the panes of the batch operator, with count and sum."""
+    By default they hold the count and the sum of ``value``. Another fold: ``start``, ``add(held, value)``
+    and ``finish(held)``, which gives the columns of ``schema``; what is held lies pickled in the store.
+    """
     if size <= 0 or slide <= 0:
         raise ValueError("window size and slide must be positive")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(order).alias("seq"), F.col("_ts").alias("ts"), F.col("_wm").alias("wm"), (F.lit(0.0) if value is None else value.cast("double")).alias("value"))
-    schema = f"k {kind}, start long, stop long, pane long, n long, total double"
-    out = rows.groupBy("k").transformWithStateInPandas(Panes(size, slide), schema, "Append", "None")
+    value = F.lit(0.0) if value is None else value.cast("double") if add is count_and_sum else value
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("seq"), F.col("_ts").alias("ts"), F.col("_wm").alias("wm"), value.alias("value"))
+    names = T.StructType.fromDDL(schema).names
+    out = rows.groupBy("k").transformWithStateInPandas(Panes(size, slide, start, add, finish, names), f"k {kind}, start long, stop long, pane long, {schema}", "Append", "None")
     return out.withColumnRenamed("k", key)
 
 

@@ -91,4 +91,20 @@ def test_edge_lists(spark):
     assert {r["node"]: r["depth"] for r in graph.layers(edges).collect()} == {0: 0, 6: 0, 1: 1, 7: 1, 2: 2, 3: 2, 4: 3, 5: 4}
     loop = spark.createDataFrame([(0, 9, 1), (1, 1, 2), (2, 2, 1)], "pos int, src int, dst int")
     with pytest.raises(ValueError):
-        graph.layers(loop, most=3)
+        graph.layers(loop)
+    apart = spark.createDataFrame([(0, 9, 1), (1, 5, 6), (2, 6, 5)], "pos int, src int, dst int")
+    with pytest.raises(ValueError):
+        graph.layers(apart)
+
+
+def test_layers_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i, i + 1) for i in range(70)], "pos int, src int, dst int").coalesce(1)
+    assert {r["node"]: r["depth"] for r in graph.layers(edges).collect()} == {i: i for i in range(71)}
+
+
+def test_rows_without_a_key_are_dealt_in_turn(spark):
+    flow = Topology()
+    numbers = flow.source("numbers", elements(spark, range(10)))
+    counts = flow.node("counts", lambda d: op.running_fold(d, {"n": ("count", F.lit(1))}, ("key",)), parallelism=3)
+    flow.connect(numbers, counts)
+    assert sorted((r["seq"], r["key"], r["n"]) for r in flow.run("counts").collect()) == [(i, i % 3, i // 3 + 1) for i in range(10)]

@@ -21,18 +21,27 @@ def duck():
     return con
 
 
-def canonical(df: pd.DataFrame) -> list[tuple]:
+#: Compared by a digest of all rows.
+LARGE = ("bench_wordcount", "generated_words")
+
+
+def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
-    rows = [tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False)]
-    return sorted(rows, key=str)
+    df = pd.DataFrame({c: df[c].round(6) if df[c].dtype.kind == "f" else df[c].astype(str) for c in df})
+    return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, duck, name):
+    if name in LARGE:
+        duck.register("got", queries.QUERIES[name](spark, SF).toArrow())
+        digest = "select count(*), bit_xor(hash(seq, value)), min(seq), max(seq) from "
+        assert duck.sql(digest + "got").fetchall() == duck.sql(f"{digest} ({queries.ORACLES[name]})").fetchall()
+        return
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = duck.sql(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    assert canonical(got) == canonical(want)
+    pd.testing.assert_frame_equal(canonical(got), canonical(want), check_dtype=False)
 
 
 def test_contract(spark):

@@ -6,6 +6,7 @@ import time
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandflow import sources, streaming
 from tests.test_streams import GOLDEN, GOLDEN_PANES, WORDS
@@ -66,3 +67,30 @@ def test_align(spark, tmp_path):
     right = files(spark, tmp_path / "b", [(i, str(len(w))) for i, w in enumerate(WORDS[:6])], "seq long, value string", 3)
     got = run(streaming.align(left, right))
     assert sorted((r["left"], r["right"]) for r in got) == sorted((w.upper(), str(len(w))) for w in WORDS[:4])
+
+
+def test_user_step(spark, tmp_path):
+    """A state that only Python knows, kept over micro-batches."""
+    rows = [(i, "ab"[i % 2], i * 10) for i in range(12)]
+    df = files(spark, tmp_path / "in", rows, "seq long, key string, _value long")
+
+    def step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
+        state = {"last": row["_value"], "seen": state["seen"] + [row["seq"]]}
+        return state, [(row["key"], row["seq"], len(state["seen"]), sum(state["seen"]))]
+
+    got = run(streaming.fold(df, "key", {"last": None, "seen": []}, step, "_key string, seq long, n int, total long"))
+    want, seen = [], {"a": [], "b": []}
+    for i, k, _ in rows:
+        seen[k].append(i)
+        want.append((k, i, len(seen[k]), sum(seen[k])))
+    assert sorted((r["_key"], r["seq"], r["n"], r["total"]) for r in got) == sorted(want)
+
+
+def test_own_fold_in_windows(spark, tmp_path):
+    rows = [(i, k, t, t - 5) for i, (t, k) in enumerate(GOLDEN)]
+    df = files(spark, tmp_path / "in", rows, "seq long, value string, _ts long, _wm long")
+    longest = dict(start=[], add=lambda held, v: [*held, v], finish=lambda held: (",".join(held), len(held)), schema="words string, size int")
+    got = run(streaming.fire(streaming.running_watermark(df), "value", 5, 2, value=F.col("value"), **longest))
+    for key, want in GOLDEN_PANES.items():
+        assert sorted((r["start"], r["size"]) for r in got if r["value"] == key) == sorted(want)
+    assert all(r["words"] == ",".join([r["value"]] * r["size"]) for r in got)

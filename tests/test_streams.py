@@ -14,9 +14,9 @@ from strandflow import sinks, sources
 from strandflow.operators import keyed, ordered
 
 
-@pytest.fixture(params=[2_000_000, 3], ids=["one range", "many ranges"])
+@pytest.fixture(params=[1, 9], ids=["one range", "many ranges"])
 def ranges(request, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", request.param)
+    monkeypatch.setattr(ordered, "ranges_of", lambda spark: request.param)
 
 
 def stream(spark, values, kind="string"):
@@ -308,3 +308,30 @@ def test_sinks(spark, tmp_path):
     seen = []
     sinks.stream_batches(source, lambda d, i: seen.extend(r["value"] for r in d.collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(seen) == [1, 2, 3]
+
+
+def test_even_cuts_cover_all_positions(spark):
+    cuts = ordered.EvenCuts(10, 4)
+    rows = spark.createDataFrame([(i,) for i in [None, -3, *range(10), 12]], "seq long").select("seq", cuts.place(F.col("seq")).alias("r")).collect()
+    assert [r["r"] for r in rows] == [0, 0, 0, 0, 0, 1, 1, 2, 2, 2, 3, 3, 3]
+    assert ordered.ranges_of(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_own_assigner_fires(spark):
+    rows = [(i, "k", t, t) for i, t in enumerate([3, 4, 9, 14, 30])]
+    timed = op.assign_time(spark.createDataFrame(rows, "seq long, key string, ts long, wm long"), F.col("ts"), F.col("wm"))
+    starts = F.array(F.col("_ts") - F.pmod(F.col("_ts") - 2, F.lit(5)))
+    got = op.fire(op.watermark(timed), ("key",), 5, 5, starts=starts, n=F.count("*")).collect()
+    assert sorted((r["start"], r["pane"], r["n"]) for r in got) == [(2, 2, 2), (7, 3, 1), (12, 4, 1)]
+
+
+def test_salted_fold_parts_repeated_rows(spark):
+    same = spark.createDataFrame([("k", 1)] * 400, "key string, v int").repartition(4)
+    out = keyed.salted_fold(same, ("key",), 8, {"n": F.count("*")}, {"n": F.sum("n")})
+    assert [(r["key"], r["n"]) for r in out.collect()] == [("k", 400)]
+
+
+def test_set_operations(spark):
+    a, b = (spark.createDataFrame([(x,) for x in v], "v int") for v in ([1, 1, 2, None], [1, None, 3]))
+    assert {r["v"] for r in op.merge_intersect(a, b).collect()} == {1, None}
+    assert [r["v"] for r in op.merge_except(a, b).collect()] == [2]
