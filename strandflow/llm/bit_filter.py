@@ -18,7 +18,7 @@ from strandflow.llm.tables import fresh
 
 PER_KEY = 16
 #: Powers of two: the least and the most bits of a filter.
-LEAST, MOST = 15, 28
+LEAST, MOST = 22, 28
 _BUCKET = 32768  # bits in a bitmap of bitmap_construct_agg
 
 
