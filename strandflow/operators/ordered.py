@@ -1,15 +1,15 @@
 """Running aggregates in arrival order that don't depend on a key to spread.
 
 A running aggregate over everything, or over a handful of keys, is one task in a
-plain window. Here order is cut into ranges at quantiles: each range is folded
-on its own, range totals are folded over the ranges (few rows), and the total
-before a range is added inside it. One shuffle of the rows, by key and range.
+plain window. Here order is cut into ranges at quantiles: range totals are
+folded over the ranges (few rows), and the fold of all earlier ranges goes
+before a range's rows as a row of its own. One shuffle and one sort of the rows,
+by key and range, and no join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,29 +73,27 @@ def running(df: DataFrame, order: str, folds: dict[str, tuple[str, Column]], key
 
     ``order`` is a numeric column; rows of equal ``order`` come by ``ties``, null
     order comes first. Null keys are a key. Nulls in folded columns are passed
-    over. ``cuts``: where to cut the order, by default at its quantiles.
+    over. ``cuts``: where to cut the order, by default at its quantiles. Without
+    keys, the totals of the ranges are computed at once.
     """
     cuts = quantile_cuts(df, order) if cuts is None else cuts
-    inner = {f"_v{i}": column for i, (_, column) in enumerate(folds.values())}
-    rows = df.withColumns({**inner, "_range": cuts.place(F.col(order))})
-    group = [*keys, "_range"]
-    so_far = Window.partitionBy(*group).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = {name: _FOLDS[kind](f"_v{i}").over(so_far) for i, (name, (kind, _)) in enumerate(folds.items())}
-    totals = rows.groupBy(*group).agg(*(_FOLDS[kind](f"_v{i}").alias(f"_t{i}") for i, (kind, _) in enumerate(folds.values())))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    again = {**_FOLDS, "count": F.sum}
-    totals = totals.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(group)), *(again[kind](f"_t{i}").over(before).alias(f"_b{i}") for i, (kind, _) in enumerate(folds.values())))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(group)))
-    rows = rows.join(totals, same, "left")
-    out = {}
-    for i, (name, (kind, _)) in enumerate(folds.items()):
-        earlier = F.col(f"_b{i}")
-        if kind in ("sum", "count"):
-            out[name] = F.when(earlier.isNull(), here[name]).otherwise(F.coalesce(here[name], F.lit(0)) + earlier)
-        else:
-            out[name] = (F.least if kind == "min" else F.greatest)(here[name], earlier)
-    extra = [f"_k{j}" for j in range(len(group))] + [f"_b{i}" for i in range(len(folds))]
-    return rows.withColumns(out).drop(*extra, *inner, "_range")
+    mark = "_"
+    while any(c.lower().startswith((f"{mark}range", f"{mark}own", f"{mark}v")) for c in df.columns):
+        mark += "_"
+    place, own, values = f"{mark}range", f"{mark}own", [f"{mark}v{i}" for i in range(len(folds))]
+    # a count is a sum of ones and zeros, so that what is carried is a value like any other
+    parts = {v: F.when(column.isNull(), 0).otherwise(1).cast("long") if kind == "count" else column for v, (kind, column) in zip(values, folds.values())}
+    fold = {v: _FOLDS["sum" if kind == "count" else kind](v) for v, (kind, _) in zip(values, folds.values())}
+    rows = df.withColumns({**parts, place: cuts.place(F.col(order)), own: F.lit(True)})
+    totals = rows.groupBy(*keys, place).agg(*(fold[v].alias(v) for v in values))
+    types = totals.schema
+    if not keys:  # one row a range: taken now, so that what comes before the fold is not computed twice wherever the result is used
+        totals = df.sparkSession.createDataFrame(totals.toArrow(), types)
+    before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, place, *(fold[v].over(before).alias(v) for v in values), F.lit(False).alias(own))
+    so_far = Window.partitionBy(*keys, place).orderBy(own, order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = {name: fold[v].over(so_far).cast(types[v].dataType) for name, v in zip(folds, values)}
+    return rows.unionByName(carried, allowMissingColumns=True).withColumns(found).where(F.col(own)).drop(*values, place, own)
 
 
 def number(df: DataFrame, order: str, name: str = "_pos", keys: tuple[str, ...] = (), ties: tuple[str, ...] = (), cuts: Cuts | EvenCuts | None = None) -> DataFrame:

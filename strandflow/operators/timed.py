@@ -5,10 +5,10 @@ arrives under a watermark that has passed it; a late row makes a pane of its
 own; and what has not fired by the end of input is not emitted. All of it is
 declarative:
 
-* the clock of a key is the running maximum of watermarks over its rows;
-* a window's closing row is the first of its key whose clock has reached its
-  stop, found as a running minimum of arrival positions over rows and stops
-  ordered by falling time;
+* the clock of a key is the running maximum of watermarks over its rows, so the
+  first row whose clock has reached a stop is the first whose own watermark has;
+* a window's closing row is that row, found as a running minimum of arrival
+  positions over rows and stops ordered by falling time;
 * a row's pane is the later of itself and the closing row.
 """
 
@@ -58,10 +58,9 @@ def panes(df: DataFrame, keys: tuple[str, ...], size: int, slide: int, order: st
     """
     missing = F.when(F.col(TS).isNull() | F.col(WM).isNull(), F.raise_error("a row has no timestamp")).otherwise(F.col(TS))
     timed = df.withColumn(TS, missing.cast("long"))
-    clock = running(timed, order, {"_clock": ("max", F.col(WM))}, keys, cuts=cuts)
     assigned = windows_of(timed, size, slide, starts=starts)
-    # falling time; of equal times, rows come before stops, since a clock equal to the stop closes it
-    rows = clock.select(*keys, (F.lit(-2) * F.col("_clock")).alias("_o"), F.col(order).alias("_row"), F.lit(None).cast("long").alias("_start"))
+    # falling time; of equal times, rows come before stops, since a watermark equal to the stop closes it
+    rows = timed.select(*keys, (F.lit(-2) * F.col(WM)).alias("_o"), F.col(order).alias("_row"), F.lit(None).cast("long").alias("_start"))
     stops = assigned.select(*keys, "start", "stop").distinct().select(*keys, (F.lit(-2) * F.col("stop") + 1).alias("_o"), F.lit(None).cast("long").alias("_row"), F.col("start").alias("_start"))
     falling = None if time_cuts is None else Cuts(tuple(sorted(-2 * c for c in time_cuts.values)))
     closing = running(rows.unionByName(stops), "_o", {"_closed": ("min", F.col("_row"))}, keys, cuts=falling).where("_start is not null and _closed is not null")

@@ -57,6 +57,17 @@ def test_running_folds_on_random_rows(spark, ranges):
     assert op.running(df.limit(0), "seq", {"s": ("sum", F.col("v"))}).count() == 0
 
 
+def test_running_folds_leave_columns_and_types(spark, ranges):
+    df = spark.createDataFrame([(i, i % 2, 5, 6, 7) for i in range(12)], "seq long, k long, _range int, _own int, _V0 int")
+    for keys in ((), ("k",)):
+        got = op.running(df, "seq", {"s": ("sum", F.expr("cast(seq as decimal(10, 2))")), "k2": ("max", F.col("k"))}, keys)
+        assert got.columns == [*df.columns, "s", "k2"]
+        assert got.schema["s"].dataType.simpleString() == "decimal(20,2)"
+        want = {i: sum(j for j in range(i + 1) if not keys or j % 2 == i % 2) for i in range(12)}
+        assert {r["seq"]: r["s"] for r in got.collect()} == want
+        assert {tuple(r)[2:5] for r in got.collect()} == {(5, 6, 7)}
+
+
 def test_flat_map_keeps_order(spark):
     got = op.flat_map(stream(spark, [1], "long"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: k * F.col("value")), place="i")
     assert [r["value"] for r in got.orderBy("i").collect()] == [1, 2, 3, 4]
