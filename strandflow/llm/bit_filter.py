@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm import textkernels as K
 from strandflow.llm.tables import fresh
 
 PER_KEY = 16
@@ -54,6 +55,7 @@ def test(table: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
 
 
 def _choose(shared, name: str, wanted: bool):
+    @K.tidy
     def choose(batches):
         for batch in batches:
             key = batch.column(name)

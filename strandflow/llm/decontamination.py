@@ -45,6 +45,7 @@ def _words(data: np.ndarray, at: np.ndarray) -> K.Words:
 def _item_windows(size: int, span: int):
     """(item_id, win, n, shingles) of each window; ``win``: its n words, parted by blanks."""
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in K.pieces(batch.column("text")):
@@ -82,6 +83,7 @@ def _hits(words: K.Words, lengths: list[int], table: np.ndarray | None) -> Itera
 
 
 def _counter(lengths: list[int], shared):
+    @K.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [h for _, _, data, at in K.pieces(batch.column("text")) for _, _, h in _hits(_words(data, at), lengths, shared.value)]
@@ -95,6 +97,7 @@ def _placer(size: int, lengths: list[int], shared):
     """Each document's number of words, and the places of prefix tokens with the words around them."""
     kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("context", pa.string())]))
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in K.pieces(batch.column("text")):

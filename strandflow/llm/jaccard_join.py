@@ -131,6 +131,7 @@ def block_keys(own: np.ndarray, rule: Rule, tops: list[int]) -> Iterator[tuple[i
 def _summary(rule: Rule):
     """Size and identity of each row's set, and how many column-block keys it has."""
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -151,7 +152,10 @@ def _incidence(batches: Iterator[pa.RecordBatch], rule: Rule, most_keys: int = 2
     total = 0
 
     def block() -> tuple[np.ndarray, ...]:
-        return np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.array(nodes, np.int64), np.array(metas, np.int64)
+        out = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys]), np.array(nodes, np.int64), np.array(metas, np.int64)
+        for held in (keys, nodes, metas, seen):  # not beside what is made of the block
+            held.clear()
+        return out
 
     for batch in batches:
         for _, own in shingle_sets(batch.column("text"), rule.words):
@@ -167,8 +171,7 @@ def _incidence(batches: Iterator[pa.RecordBatch], rule: Rule, most_keys: int = 2
                 total += len(found)
             if total >= most_keys:
                 yield block()
-                keys, nodes, metas, total = [], [], [], 0
-                seen.clear()
+                total = 0
     if keys:
         yield block()
 
@@ -203,36 +206,60 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in ascending keys, and their number."""
+    least = [-(-(b << 32) // buckets) << 32 for b in range(buckets)]
+    return np.append(np.searchsorted(keys, np.array(least, np.uint64)), len(keys))
+
+
 def narrow(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The key as buckets know it: 48 bits below the bucket's lowest 16. Keys that become equal by it share their pivots, which costs a comparison."""
     return (low & np.uint64((1 << 48) - 1)) | (bucket << np.uint64(48))
 
 
+def _ends_only(keys: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a block by key; of a key of three or more, only those of its least and its greatest node."""
+    order = np.argsort(keys, kind="stable")
+    keys, row = keys[order], row[order]
+    del order
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(start, append=len(keys))
+    start, size = start[size > 2], size[size > 2]
+    if not len(start):
+        return keys, row
+    first = np.cumsum(size) - size
+    at = np.repeat(start - first, size) + np.arange(size.sum())
+    own = node[row[at]]
+    between = (own != np.repeat(np.minimum.reduceat(own, first), size)) & (own != np.repeat(np.maximum.reduceat(own, first), size))
+    kept = np.ones(len(keys), bool)
+    kept[at[between]] = False
+    return keys[kept], row[kept]
+
+
+def _parts(keys: np.ndarray, row: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, part) of entries in ascending order of their keys."""
+    edge = bucket_edges(keys, buckets)
+    some = np.flatnonzero(np.diff(edge))
+    parts = []
+    for b in some:
+        here = slice(edge[b], edge[b + 1])
+        by_row = np.argsort(row[here], kind="stable")
+        which, count = np.unique(row[here][by_row], return_counts=True)
+        parts.append(pack(node[which], count, keys[here][by_row]))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], ["bucket", "part"])
+
+
 def _dealt(rule: Rule, buckets: int):
     """The entries of each block in buckets of keys; of a key that many rows of a block hold, only the two that matter."""
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, row, node, _ in _incidence(batches, rule):
-            order = np.argsort(keys, kind="stable")
-            keys, row = keys[order], row[order]
-            own = node[row]
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            start = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            least, most = np.minimum.reduceat(own, start)[group], np.maximum.reduceat(own, start)[group]
-            kept = new.copy()
-            many = np.diff([*start, len(keys)])[group] > 1
-            kept[many] = (own[many] == least[many]) | (own[many] == most[many])
-            keys, row = keys[kept], row[kept]
-            edge = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1).astype(np.uint64))
-            some = np.flatnonzero(np.diff(edge))
-            parts = []
-            for b in some:
-                here = slice(edge[b], edge[b + 1])
-                by_row = np.argsort(row[here], kind="stable")
-                which, count = np.unique(row[here][by_row], return_counts=True)
-                parts.append(pack(node[which], count, keys[here][by_row]))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], ["bucket", "part"])
+            keys, row = _ends_only(keys, row, node)
+            out = _parts(keys, row, node, buckets)
+            del keys, row, node
+            yield out
+            del out
 
     return emit
 
@@ -244,6 +271,7 @@ def _shared_keys(most_keys: int):
     ``most_keys`` of them: a key that very many rows hold takes one place.
     """
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         held = 0
@@ -269,13 +297,15 @@ def _shared_keys(most_keys: int):
 def _met(rule: Rule, buckets: int, shared):
     """(key, node, meta) of the entries whose key may be shared."""
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, row, node, meta in _incidence(batches, rule):
-            keys = narrow(bucket_of(keys, buckets), keys)
-            hit = np.flatnonzero(bit_filter.test(shared.value, keys))
-            for lo in range(0, len(hit), 1 << 16):
-                here = hit[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[here].view(np.int64)), pa.array(node[row[here]]), pa.array(meta[row[here]])], ["key", "node", "meta"])
+            for lo in range(0, len(keys), 1 << 17):
+                some, own = keys[lo : lo + (1 << 17)], row[lo : lo + (1 << 17)]
+                some = narrow(bucket_of(some, buckets), some)
+                hit = bit_filter.test(shared.value, some)
+                yield pa.RecordBatch.from_arrays([pa.array(some[hit].view(np.int64)), pa.array(node[own[hit]]), pa.array(meta[own[hit]])], ["key", "node", "meta"])
+            del keys, row, node, meta, some, own, hit
 
     return emit
 
@@ -315,6 +345,7 @@ def candidates(docs: DataFrame, rule: Rule, sets: int, elements: int) -> DataFra
 def _sets(rule: Rule, shared):
     """(node, n, set) of the sets whose node may be wanted, equal ones of a batch once."""
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, tuple[int, bytes]] = {}
@@ -338,6 +369,7 @@ def _apart(own: bytes, other: bytes) -> np.ndarray:
 def _judge(rule: Rule):
     """f of each row against its pivot."""
 
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = [
@@ -349,6 +381,7 @@ def _judge(rule: Rule):
     return emit
 
 
+@K.tidy
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         delta = [_apart(own, other).tobytes() for own, other in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True)]
@@ -438,6 +471,7 @@ def classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
 
 def _noded(rule: Rule, name: str):
+    @K.tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = np.zeros(batch.num_rows, np.int64)

@@ -309,6 +309,7 @@ def _row(text: str) -> tuple:
     return (*count, len(spans) - len(base), hashlib.sha256(_digest(base).encode()).hexdigest(), _digest(spans))
 
 
+@K.tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [_NONE] * batch.num_rows
@@ -337,6 +338,7 @@ def without_spans(text: str, mark: str) -> str:
 
 
 def _redactor(mark: str):
+    @K.tidy
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new: dict[int, str] = {}

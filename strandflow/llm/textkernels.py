@@ -7,10 +7,11 @@ piece and not the table. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,27 @@ LOWER = np.where((SAME >= 65) & (SAME <= 90), SAME + 32, SAME).astype(np.uint8)
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Longer words are hashed one by one.
 LONG = 256
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def tidy(emit: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that ends with ``give_back``: Spark keeps a worker when its task is over, and what an idle one holds counts beside those that run."""
+
+    @wraps(emit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from emit(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def mix(h: np.ndarray) -> np.ndarray:

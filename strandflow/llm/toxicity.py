@@ -194,6 +194,7 @@ def train(rows: list[tuple[str, int]], least: float = 0.01, odds: float = 1.0, d
 
 
 def _scorer(shared, column: str):
+    @K.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -220,6 +221,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, mo
 
 
 def _keeper(shared, threshold: float):
+    @K.tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import subprocess
+import sys
 
+import numpy as np
 import pytest
 
+from strandflow.llm import jaccard_join
 from strandflow.llm.components import components
 from strandflow.llm.jaccard_join import Rule, classes, keep_one
 from tests.llm.conftest import corpus, words
@@ -152,3 +156,47 @@ def test_a_bucket_of_one_hot_key_stays_small():
     finally:
         j._ends = ends
     assert out.num_rows == 1 and out.column("pivot")[0].as_py() == 0 and max(held) < 700
+
+
+MEMORY = """
+import ctypes, numpy as np, pyarrow as pa
+from strandflow.llm import jaccard_join as J
+
+def mb(what):
+    return next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith(what)) // 1024
+
+rng = np.random.default_rng(6)
+vocabulary = np.array([f"word{i}" for i in range(5000)])
+texts = pa.array([" ".join(w) for w in vocabulary[rng.integers(0, 5000, (12000, 300))]])
+ctypes.CDLL(None).malloc_trim(0)
+base, rows = mb("VmRSS"), 0
+open("/proc/self/clear_refs", "w").write("5")
+for out in J._dealt(J.Rule(5, 80, 100), 64)(iter([pa.record_batch([texts], ["text"])])):
+    rows += out.num_rows
+del out
+print(rows, mb("VmHWM") - base, mb("VmRSS") - base)
+"""
+
+
+def test_dealt_blocks_stay_small_and_leave_nothing():
+    run = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True)
+    rows, peak, after = map(int, run.stdout.split())
+    assert rows == 2 * 64  # two blocks in all buckets
+    assert peak < 200 and after < 60
+
+
+def test_entries_of_a_block_by_key():
+    rng = np.random.default_rng(7)
+    keys = rng.integers(0, 1 << 64, 40, np.uint64, endpoint=False)[rng.integers(0, 40, 300)]
+    row, node = rng.integers(0, 90, 300).astype(np.int32), rng.permutation(90) - 45
+    keys, row = (np.array(x) for x in zip(*dict.fromkeys(zip(keys.tolist(), row.tolist(), strict=True)), strict=True))
+    keys, want = keys.astype(np.uint64), set()
+    for k in set(keys.tolist()):
+        own = sorted((int(node[r]), int(r)) for r in row[keys == np.uint64(k)])
+        want |= {(k, r) for _, r in (own[0], own[-1])}
+    got, of = jaccard_join._ends_only(keys, row, node)
+    assert sorted(zip(got.tolist(), of.tolist(), strict=True)) == sorted(want) and (np.diff(got.astype(object)) >= 0).all()
+    for buckets in (1, 7, 64):
+        edge = jaccard_join.bucket_edges(got, buckets)
+        assert np.repeat(np.arange(buckets), np.diff(edge)).tolist() == jaccard_join.bucket_of(got, buckets).tolist()
+    assert jaccard_join.bucket_edges(np.array([0, 1 << 32, (1 << 64) - 1], np.uint64), 3).tolist() == [0, 2, 2, 3]
