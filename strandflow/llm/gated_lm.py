@@ -88,7 +88,7 @@ def tokens(data: np.ndarray, at: np.ndarray, spelling: Spelling | None) -> tuple
 class Network:
     """The recurrent part: scores class ids by class ids."""
 
-    def __init__(self, unigram: np.ndarray, groups: np.ndarray, seed: int = 0, hidden: int = HIDDEN):
+    def __init__(self, unigram: np.ndarray, groups: np.ndarray, seed: int = 0, hidden: int = 32):
         """``groups``: SIDE x SIDE class ids."""
         rng = np.random.default_rng(seed)
         self.hidden, self.rooms = hidden, {}
@@ -522,7 +522,7 @@ def fit(docs: DataFrame, head: int, epochs: int, rounds: int) -> tuple[Model, Da
     pairs = np.zeros(CLASSES * CLASSES)
     found = lines.select("line").mapInArrow(_pairs(model.end), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    model.network = Network(unigram, similar_groups(pairs.reshape(CLASSES, CLASSES)))
+    model.network = Network(unigram, similar_groups(pairs.reshape(CLASSES, CLASSES)), hidden=HIDDEN)
     train_network(model.network, lines, model.end, total or 0, epochs, rounds)
     return model, counts.where(F.col("level") < least).select("h", "n"), np.log10(once + 1)[FREQUENT:]
 
