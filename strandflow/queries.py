@@ -85,13 +85,8 @@ def bench_wordcount(spark, sf):
 with w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as i from documents)
 select word, doc_id * 1000000 + i as seq, cast(count(*) over (partition by word order by doc_id, i rows unbounded preceding) as bigint) as n from w""")
 def wordcount_running(spark, sf):
-    docs = table(spark, sf, "documents")
-    found = op.flat_map(docs, F.split("text", " "), "word", keep=("doc_id",), place="i")
-    found = found.withColumn("seq", F.col("doc_id") * 1000000 + F.col("i") + 1)
-    # documents have about as many words each wherever their ids lie, so cuts of the ids are cuts of the order
-    by_doc = op.quantile_cuts(docs, "doc_id")
-    cuts = op.Cuts(tuple(c * 1000000 for c in by_doc.values))
-    return op.running_fold(found, {"n": ("count", F.lit(1))}, ("word",), cuts=cuts).select("word", "seq", "n")
+    counted = op.running_parts(table(spark, sf, "documents"), "text", "doc_id", names=("i", "word", "n"))
+    return counted.select("word", (F.col("doc_id") * 1000000 + F.col("i") + 1).alias("seq"), "n")
 
 
 @query("select cast(r_regionkey as bigint) as seq, r_name as value from region")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from strandflow import functions as fn
 from strandflow import operators as op
-from strandflow import sinks, sources
-from strandflow.operators import keyed, ordered
+from strandflow import queries, sinks, sources
+from strandflow.operators import keyed, ordered, parts
 
 
 @pytest.fixture(params=[1, 9], ids=["one range", "many ranges"])
@@ -36,6 +36,57 @@ def test_word_count(spark, ranges):
     assert got.columns == ["seq", "value", "n"]
 
 
+def counted_parts(rows):
+    """By order (null last), then place: (order, place, part, n)."""
+    parts = [(o, i, w) for o, t in rows if t is not None for i, w in enumerate(t.split(" "))]
+    out, seen = [], {}
+    for o, i, w in sorted(parts, key=lambda p: (p[0] is None, p[0] or 0, p[1])):
+        seen[w] = seen.get(w, 0) + 1
+        out.append((o, i, w, seen[w]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 22])
+def test_running_parts(spark, ranges, piece):
+    """Random texts with null, repeated and far orders, null and empty texts, empty parts; in pieces of any size and in batches of one row."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "b", "", "é", "word", str(rng.randrange(40))]) for _ in range(rng.randrange(1, 12))) for _ in range(90)]
+    rows = [(rng.choice([None, rng.randrange(-20, 20), rng.randrange(1000), 1 << 62]), t) for t in [*texts, None, "", " ", "a  a "]]
+
+    def patched(emit):
+        def run(batches):
+            parts.PIECE, parts.PARTS = piece, max(piece, 3)
+            single = (b.slice(i, 1) for b in batches for i in range(b.num_rows))
+            yield from emit(single)
+
+        return run
+
+    with pytest.MonkeyPatch.context() as m:
+        for name in ("_totals", "_running"):
+            m.setattr(parts, name, lambda *a, emit=getattr(parts, name): patched(emit(*a)))
+        got = op.running_parts(spark.createDataFrame(rows, "o long, t string").repartition(3), "t", "o")
+    assert got.columns == ["o", "place", "value", "n"]
+    assert sorted(map(tuple, got.collect()), key=str) == counted_parts(rows)
+
+
+def test_running_parts_cut_anywhere(spark):
+    rows = [(i % 7, f"x {i} x") for i in range(30)]
+    df = spark.createDataFrame(rows, "o long, t string")
+    for cuts in [(), (0.5,), (-5.0, 2.0, 2.5, 3.0, 99.0)]:
+        assert sorted(map(tuple, op.running_parts(df, "t", "o", cuts=op.Cuts(cuts)).collect()), key=str) == counted_parts(rows)
+    assert op.running_parts(df.limit(0), "t", "o").count() == 0
+
+
+def test_word_count_shuffles_texts(spark, tmp_path):
+    """Words aren't rows before they are counted; words beyond the millionth of a text, and texts without id, come in their turn as in SQL."""
+    rows = [(1, "a " * 1_000_001 + "b"), (2, "a"), (None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.wordcount_running(spark, str(tmp_path))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    last = got.where("word = 'a' and (seq is null or seq >= 2000000)").collect()
+    assert sorted((r["n"], r["seq"]) for r in last) == [(1_000_000, 2_000_000), (1_000_001, 2_000_001), (1_000_002, 2_000_001), (1_000_003, None)]
+
+
 def test_running_sum(spark, ranges):
     got = op.running_fold(stream(spark, range(5), "long"), {"total": ("sum", F.col("value"))})
     assert [r["total"] for r in got.orderBy("seq").collect()] == [0, 1, 3, 6, 10]
